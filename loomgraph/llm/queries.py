@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from loomgraph.llm.licenses import op4_license_scan
 from loomgraph.llm.mixing import op8_source_mix
+from loomgraph.llm.neardup import op3_near_duplicates
 from loomgraph.llm.packing import op10_best_fit_packing
 from loomgraph.llm.quality import op1_quality_rules
 from loomgraph.llm.urls import OP6_SQL, op6_url_filter
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op4_license_scan, op6_url_filter, op8_source_mix, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_near_duplicates, op4_license_scan, op6_url_filter, op8_source_mix, op10_best_fit_packing)}
 
 
 def oracle_sql():
