@@ -350,6 +350,8 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, rules: NearR
     def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(cross_links(a, b, rules) if len(a) and len(b) else [], columns=["a", "b"])
 
+    # New names inside the plan: both sides come from the same tables.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     keys = ["root", "part", "cut"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pairs, "a long, b long")
 
