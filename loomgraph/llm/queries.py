@@ -8,11 +8,12 @@ from loomgraph.llm.neardup import op3_near_duplicates
 from loomgraph.llm.neighbours import op2_nearest_neighbours
 from loomgraph.llm.packing import op10_best_fit_packing
 from loomgraph.llm.quality import op1_quality_rules
+from loomgraph.llm.suffixes import op7_suffix_dedup
 from loomgraph.llm.urls import OP6_SQL, op6_url_filter
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_near_duplicates, op4_license_scan, op6_url_filter, op8_source_mix, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_near_duplicates, op4_license_scan, op6_url_filter, op7_suffix_dedup, op8_source_mix, op10_best_fit_packing)}
 
 
 def oracle_sql():
