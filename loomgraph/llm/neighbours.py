@@ -71,11 +71,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 @dataclass
 class Index:
-    """What was fitted: coarse centroids, and a codebook for each subspace (its columns and codewords)."""
+    """What was fitted: coarse centroids, and a codebook for each subspace (its columns and codewords);
+    and the lists and codes of the sample itself, which bound what a query need return from a list."""
 
     centroids: np.ndarray
     columns: list[np.ndarray]
     books: list[np.ndarray]
+    lists: list[np.ndarray]
 
     @staticmethod
     def fit(x: np.ndarray, lists: int, rules: AnnRules) -> Index:
@@ -83,7 +85,24 @@ class Index:
         centroids = kmeans(x, min(lists, len(x)), rules.rounds, rng)
         left = x - centroids[_nearest(x, centroids)]
         columns = np.array_split(np.arange(x.shape[1]), max(1, -(-x.shape[1] // rules.width)))
-        return Index(centroids, columns, [kmeans(left[:, c], min(rules.codewords, len(x)), rules.rounds, rng) for c in columns])
+        index = Index(centroids, columns, [kmeans(left[:, c], min(rules.codewords, len(x)), rules.rounds, rng) for c in columns], [])
+        own, codes = index.encode(x)
+        index.lists = [codes[own == k] for k in range(len(centroids))]
+        return index
+
+    def bound(self, q: np.ndarray, near: np.ndarray, depth: int) -> float:
+        """The distance, by the tables, of the depth-th best sample entry in the probed lists. The sample is
+        part of the index, so none of the query's depth best entries lies beyond it."""
+        found = np.concatenate([self.approximate(q, int(k), self.lists[k]) for k in near])
+        return float(np.partition(found, depth - 1)[depth - 1]) if len(found) >= depth else float("inf")
+
+    def approximate(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Distances of one list's entries from a query by its table."""
+        near = np.zeros(len(codes), np.float32)
+        if len(codes):
+            for row, column in zip(self.tables(q, which), codes.T, strict=True):
+                near += row[column]
+        return near
 
     def probes_for(self, x: np.ndarray, rules: AnnRules) -> int:
         """How many lists hold the target part of the exact nearest neighbours among the sample."""
@@ -159,12 +178,13 @@ def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> D
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = index.value.probes(_matrix(batch, "v"), n_probes)
+            most = [index.value.bound(v, k, rules.depth) for v, k in zip(_matrix(batch, "v"), near, strict=True)]
             at = np.repeat(np.arange(batch.num_rows), n_probes)
-            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(near.ravel(), pa.int32())], ["qid", "v", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(np.array(most)[at]), pa.array(near.ravel(), pa.int32())], ["qid", "v", "most", "list"])
 
     coded = scratch.write(entries.select("cid", "v").mapInArrow(encode, "cid long, list int, codes binary"))
     wanted = entries.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), "v")
-    probed = scratch.write(wanted.mapInArrow(probe, "qid long, v array<double>, list int"))
+    probed = scratch.write(wanted.mapInArrow(probe, "qid long, v array<double>, most double, list int"))
     # One row a list, so within most_lists.
     parts = coded.groupBy("list").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("parts"))
     cuts = probed.groupBy("list").agg(F.ceil(F.count("*") / rules.query_block).cast("int").alias("cuts"))
@@ -175,8 +195,8 @@ def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> D
     )
     right = (
         probed.join(sized, "list").withColumn("cut", F.pmod(F.xxhash64("qid"), F.col("cuts")).cast("int"))
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cut", "qid", "v")
-        .select(*[F.col(c).alias(c) for c in ("list", "part", "cut", "qid", "v")])
+        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cut", "qid", "v", "most")
+        .select(*[F.col(c).alias(c) for c in ("list", "part", "cut", "qid", "v", "most")])
     )
     depth = rules.depth
 
@@ -188,14 +208,11 @@ def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> D
             ids = ids[order]
             codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)[order]
             which = int(a["list"].iloc[0])
-            for qid, v in zip(b["qid"], b["v"], strict=True):
-                table = index.value.tables(np.asarray(v), which)
-                near = np.zeros(len(ids), np.float32)
-                for m in range(codes.shape[1]):
-                    near += table[m, codes[:, m]]
-                best = np.arange(len(ids))
-                if len(ids) > depth:
-                    best = np.flatnonzero(near <= np.partition(near, depth - 1)[depth - 1])
+            for qid, v, most in zip(b["qid"], b["v"], b["most"], strict=True):
+                near = index.value.approximate(np.asarray(v), which, codes)
+                best = np.flatnonzero(near <= most)
+                if len(best) > depth:
+                    best = best[near[best] <= np.partition(near[best], depth - 1)[depth - 1]]
                 best = best[np.argsort(near[best], kind="stable")][:depth]
                 out.append(pd.DataFrame({"qid": qid, "cid": ids[best], "near": near[best]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "cid": [], "near": []})
