@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.html import op5_html_text
 from loomgraph.llm.licenses import op4_license_scan
 from loomgraph.llm.mixing import op8_source_mix
 from loomgraph.llm.neardup import op3_near_duplicates
@@ -13,7 +14,7 @@ from loomgraph.llm.urls import OP6_SQL, op6_url_filter
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_near_duplicates, op4_license_scan, op6_url_filter, op7_suffix_dedup, op8_source_mix, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_near_duplicates, op4_license_scan, op5_html_text, op6_url_filter, op7_suffix_dedup, op8_source_mix, op10_best_fit_packing)}
 
 
 def oracle_sql():
