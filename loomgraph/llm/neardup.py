@@ -294,12 +294,13 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     """doc_id, n_shingles, component_id, kept per row of docs.
 
     Null and empty texts have empty sets and are linked with nothing. Rows with one doc_id count as one
-    document for links and are returned each. Texts are read whole. An empty table gives no rows.
+    document for links and are returned each. Rows without a doc_id are kept
+    and linked with nothing. Texts are read whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.write(_sign(docs, rules))
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
     reps = scratch.write(classes.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     proposed = _propose(reps, rules, scratch)
     coarse = scratch.write(components(proposed, scratch).withColumnRenamed("node", "rep"))
@@ -331,7 +332,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     roots = roots.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), component)
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _across(members: DataFrame, links: DataFrame, texts: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:

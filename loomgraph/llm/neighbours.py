@@ -142,13 +142,13 @@ def usable(vector: str) -> str:
 def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every query among all rows but its own.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those
+    Rows without a vec_id, and vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those
     whose length isn't the sample's most common one. Equal distances go to smaller ids. An empty table
     gives none. Rows of one vec_id with different vectors are rows each.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(usable("v"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null").where(usable("v"))
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rules.neighbours + 1)
     entries = scratch.write(few.groupBy("v").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))

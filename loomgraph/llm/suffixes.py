@@ -297,7 +297,7 @@ def _sorted_out(rows: DataFrame, rules: SuffixRules) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame:
     """doc_id, start, end (bytes) of spans that windows cover which start earlier too; spans may overlap."""
-    rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     again = scratch.write(_runs(rows, rules, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     scratch.collect_shuffles()
     runs = scratch.write(_runs(rows, rules, False).join(again, "anchor", "left_semi"))
@@ -317,18 +317,20 @@ def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> Dat
     return scratch.write(whole.unionByName(_sorted_out(contents, rules)))
 
 
-def dedup_substrings(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (the bytes left) per row of docs.
+def dedup_substrings(docs: DataFrame, rules: SuffixRules = SuffixRules(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed runs of bytes), kept (the bytes left) and the columns named in
+    `keep`, per row of docs.
 
     Null and empty texts have no bytes; texts under a window's length lose none. Rows that repeat a doc_id
     and its text count as one document; where texts differ under one doc_id, spans found in either apply
-    to both, within their length. An empty table gives no rows. Extra columns are not read.
+    to both, within their length. Rows without a doc_id take no part and lose nothing. An empty table gives no rows. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     spans = repeated_spans(docs, rules, scratch)
     scratch.collect_shuffles()
     per = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
-    rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(per, "doc_id", "left")
+    rows = columns_of(docs, "doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long")).join(per, "doc_id", "left")
+    also = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,9 +349,9 @@ def dedup_substrings(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> Dat
                 merged.append(out)
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)) if out else raw)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary()), *(batch.column(k) for k in keep)], ["doc_id", "n_bytes", "spans", "kept", *keep])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + also)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
