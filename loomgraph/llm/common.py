@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,7 +95,8 @@ class Scratch:
         self.collect_shuffles()
 
     def collect_shuffles(self) -> None:
-        """Shuffle files are dropped once the JVM has collected the plans that made them."""
+        """Shuffle files are dropped once Python and the JVM have collected the plans that made them."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
 

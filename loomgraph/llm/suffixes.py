@@ -302,11 +302,15 @@ def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> Dat
     scratch.collect_shuffles()
     runs = scratch.write(_runs(rows, rules, False).join(again, "anchor", "left_semi"))
     scratch.free(again)
+    scratch.collect_shuffles()
     kinds = runs.groupBy("anchor", "content", "windows", "offset").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     kinds = scratch.write(kinds)
+    scratch.collect_shuffles()
     key = ["anchor", "content", "windows", "offset"]
     whole = runs.join(kinds, key).where(F.struct("doc_id", "start") != F.col("first"))
     whole = whole.select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + rules.length).alias("end"))
+    whole = scratch.write(whole)
+    scratch.free(runs)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = kinds.join(several, "anchor").select(
         F.col("first.doc_id").alias("doc_id"),
@@ -314,7 +318,9 @@ def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> Dat
     )
     lists = mixed.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     contents = _extract(rows.join(lists, "doc_id"), rules)
-    return scratch.write(whole.unionByName(_sorted_out(contents, rules)))
+    mixed_out = scratch.write(_sorted_out(contents, rules))
+    scratch.free(kinds)
+    return whole.unionByName(mixed_out)
 
 
 def dedup_substrings(docs: DataFrame, rules: SuffixRules = SuffixRules(), keep: tuple[str, ...] = ()) -> DataFrame:
