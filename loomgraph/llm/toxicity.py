@@ -59,12 +59,31 @@ def tokens(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def grams(word: str, buckets: int) -> list[int]:
-    """Buckets of a word's trigrams, prefixes and end, with its edges marked."""
-    w = word.strip(_EDGES) or word
-    m = f"^{w[:40]}$"
-    parts = [m[i : i + 3] for i in range(max(1, len(m) - 2))] + ["p" + m[:k] for k in (4, 5, 6, 7) if len(m) >= k] + ["w" + m]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % buckets for p in parts]
+def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's byte trigrams, prefixes of 4 to 7 and whole form, its edges marked: all of
+    them in word order, and how many each word has."""
+    marked = [b"^" + (w.strip(_EDGES) or w).encode("utf-8", "surrogatepass")[:40] + b"$" for w in words]
+    size = np.array([len(m) for m in marked], np.int64)
+    raw = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
+    end = np.cumsum(size)
+    begin, word = end - size, np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(word)) - begin[word]
+    mixed = lambda h, kind: ((h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
+    step = np.uint64(0x100000001B3)
+    three = (raw[:-10] * step + raw[1:-9]) * step + raw[2:-8] if len(raw) > 10 else np.zeros(0, np.uint64)
+    at = np.flatnonzero(place[: len(three)] + 3 <= size[word[: len(three)]])
+    owners, found = [word[at]], [mixed(three[at], 1 << 40)]
+    folded = np.zeros(len(words), np.uint64)
+    for k in range(7):
+        folded = folded * step + raw[begin + k]
+        if k >= 3:
+            fits = np.flatnonzero(size > k)
+            owners.append(fits)
+            found.append(mixed(folded[fits], k))
+    owners.append(np.arange(len(words)))
+    found.append(np.fromiter(map(zlib.crc32, marked), np.int64, len(words)) % buckets)
+    owner, bucket = np.concatenate(owners), np.concatenate(found)
+    return bucket[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,9 +106,7 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """A row per word."""
-        parts = [grams(x, self.rules.buckets) for x in words]
-        count = np.array([len(p) for p in parts])
-        flat = np.fromiter((b for p in parts for b in p), np.int64, count.sum())
+        flat, count = grams(words, self.rules.buckets)
         chars = np.add.reduceat(self.w["char"][flat], np.cumsum(count) - count, axis=0) / count[:, None]
         own = np.array([self.vocabulary.get(x.strip(_EDGES), 0) for x in words])
         return np.concatenate([self.w["word"][own], chars], 1).astype(np.float32)
@@ -169,20 +186,22 @@ def starts(n: int, rules: ToxicRules) -> list[int]:
 
 def fit(texts: list[str | None], labels: list[int], weights: list[float], rules: ToxicRules = ToxicRules()) -> Network:
     """Trains on labelled texts."""
-    docs = [tokens(t) for t in texts]
-    seen = Counter(x.strip(_EDGES) for d in docs for x in set(d))
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(x, len(number)) for x in tokens(t)), np.int32) for t in texts]
+    listed = list(number)
+    bare = [x.strip(_EDGES) for x in listed]
+    seen: Counter[str] = Counter()
+    for i in ids:
+        seen.update({bare[k] for k in np.unique(i).tolist()})
     often = sorted((-n, x) for x, n in seen.items() if n >= 5 and x)[: rules.words]
     network = Network(rules, {x: i + 1 for i, (_, x) in enumerate(often)})
-    if not docs or not any(docs):
+    if not listed:
         return network
     rng = np.random.default_rng(rules.seed + 1)
-    listed = sorted({x for d in docs for x in d})
-    number = {x: i for i, x in enumerate(listed)}
-    bags = [grams(x, rules.buckets) for x in listed]
-    count = np.array([len(b) for b in bags])
-    flat, begin = np.concatenate([np.array(b) for b in bags]), np.cumsum(count) - count
-    vocab = np.array([network.vocabulary.get(x.strip(_EDGES), 0) for x in listed])
-    ids = [np.array([number[x] for x in d], np.int64) for d in docs]
+    flat, count = grams(listed, rules.buckets)
+    begin = np.cumsum(count) - count
+    vocab = np.array([network.vocabulary.get(x, 0) for x in bare])
+    del number, listed, bare, seen
     y, weight = np.array(labels, np.float32), np.array(weights, np.float32)
     weight /= weight.mean()
 
@@ -214,11 +233,15 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], rules:
         v += 0.01 * (grad * grad - v)
         network.w[name] -= (rules.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def rows() -> np.ndarray:
-        chars = np.add.reduceat(network.w["char"][flat], begin, axis=0) / count[:, None]
-        return np.concatenate([network.w["word"][vocab], chars], 1).astype(np.float32)
+    def projections() -> np.ndarray:
+        out = np.empty((len(count), 6 * rules.state), np.float32)
+        for k in range(0, len(count), 20_000):
+            lens, part = count[k : k + 20_000], flat[begin[k] : begin[k] + count[k : k + 20_000].sum()]
+            chars = np.add.reduceat(network.w["char"][part], np.cumsum(lens) - lens, axis=0) / lens[:, None]
+            out[k : k + 20_000] = network.project(np.concatenate([network.w["word"][vocab[k : k + 20_000]], chars], 1).astype(np.float32))
+        return out
 
-    usable = [d for d in range(len(docs)) if len(ids[d])]
+    usable = [d for d in range(len(ids)) if len(ids[d])]
     round_ = -1
     while round_ + 1 < rules.rounds or (step < rules.least_steps and round_ + 1 < rules.most_rounds):
         round_ += 1
@@ -226,7 +249,7 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], rules:
         for d in usable:
             s = starts(len(ids[d]), rules)
             offered += [(d, s[k]) for k in (range(len(s)) if len(s) <= rules.windows else rng.choice(len(s), rules.windows, replace=False))]
-        projected = network.project(rows())
+        projected = projections()
         logit = np.empty(len(offered), np.float32)
         for k in range(0, len(offered), 2048):
             at, mask = windows(offered[k : k + 2048])
