@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import profiling
+from loomgraph.plans import catalogue, profiling
 
-MODULES = (profiling,)
+MODULES = (profiling, catalogue)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
