@@ -29,8 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows of a doc_id are one document; rows without a doc_id stay."""
     judged = near_duplicates(docs, NearRules(shingle=5, percent=80))
     going = judged.where("not kept").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(going, "doc_id", "left_anti")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    rows = docs.select(*COLUMNS)
+    stay = rows.where("doc_id is not null").join(going, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return stay.unionByName(rows.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of texts hold so many rows, where the session has no smaller number of its own: two
+    Python workers beside a full heap have room for little more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one only where none is set, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,6 +85,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         atexit.register(_drop_at_exit, spark, self.at)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -106,8 +115,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     Large-star and small-star steps in turn: logarithmically many rounds, partial minima before each
     shuffle, and joins (which adaptive execution can split) rather than lists of a hub's neighbours.
     """
+    # Edges are two numbers: an eighth of the partitions that texts need is enough to write them.
+    parts = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     now = scratch.write(
-        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
+        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct().coalesce(parts)
     )
     before = None
     for _ in range(rounds):
@@ -119,7 +130,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
         # Small star: every node's smaller neighbours and the node itself go to the smallest of them.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        nxt = scratch.write(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        nxt = scratch.write(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct().coalesce(parts))
         mark = nxt.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")).first()
         scratch.free(now)
         now = nxt

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.boost import BoostedTrees
-from loomgraph.llm.common import columns_of, slices
+from loomgraph.llm.common import columns_of, slices, small_batches
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>?",
@@ -401,6 +401,7 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), p
     Null and empty pages, and pages without main text, have an empty text. Pages are read whole, one by
     one, so repeated rows repeat their text; an empty table gives no rows; extra columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = columns_of(pages, *keep, "html")
     model = pages.sparkSession.sparkContext.broadcast(Extractor(pages_fitted))
 

@@ -60,7 +60,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept for the words seen last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns_of, slices
+from loomgraph.llm.common import columns_of, slices, small_batches
 
 #: Characters on which every Unicode version agrees; other texts take the tokenizer's own, slower road.
 _ODD = re.compile("[^\t\n\r -~¡-ɏ]")
@@ -122,6 +122,7 @@ def pack(docs: DataFrame, rules: PackingRules | None = None, encoder: Callable[[
     hold the task's partition in their upper bits, so a task that runs again gives the same ones.
     """
     rules = rules or PackingRules()
+    small_batches(docs.sparkSession)
     rows = columns_of(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 

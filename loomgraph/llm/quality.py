@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns_of, slices
+from loomgraph.llm.common import columns_of, slices, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -186,6 +186,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), keep: t
     Nulls and empty texts have no words and fail the base rule. Repeated rows are judged one by one;
     other columns are neither read nor returned. A text is held whole by one task, never cut.
     """
+    small_batches(docs.sparkSession)
     rows = columns_of(docs, *dict.fromkeys([*keep, "text"]))
     kept = rows.select(*keep).schema
 

@@ -46,12 +46,16 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 
 
 class _Hasher:
-    """Polynomial hashes modulo 2 ** 64 over a byte's random number, for buffers up to _SPACE bytes."""
+    """Polynomial hashes modulo 2 ** 64 over a byte's random number."""
 
     def __init__(self) -> None:
         rng = np.random.default_rng(7)
         self.of = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + rng.integers(0, 2, 256).astype(np.uint64)
-        n = _SPACE + 1
+        self.grow(_SPACE)
+
+    def grow(self, size: int) -> None:
+        """Powers for buffers of that size; sorting may need more than one text's buffer."""
+        n = size + 1
         self.power, self.inverse = np.ones(n, np.uint64), np.ones(n, np.uint64)
         self.power[1:] = np.uint64(_BASE)
         self.inverse[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -59,6 +63,8 @@ class _Hasher:
         np.multiply.accumulate(self.inverse, out=self.inverse)
 
     def prefix(self, raw: np.ndarray) -> np.ndarray:
+        if len(raw) >= len(self.power):
+            self.grow(2 * len(raw))
         out = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.of[raw] * self.power[: len(raw)], out=out[1:])
         return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns_of, slices
+from loomgraph.llm.common import columns_of, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ class Network:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Input projections of both ways, side by side; they depend on the word alone."""
-        return np.concatenate([x @ self.w["xf"] + self.w["cf"], x @ self.w["xb"] + self.w["cb"]], 1)
+        return np.concatenate([x @ self.w["xf"] + self.w["cf"], x @ self.w["xb"] + self.w["cb"]], -1)
 
     def forward(self, projected: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows. projected: (time, windows, 6 * state); mask: (time, windows), 1 for a word."""
@@ -361,6 +361,7 @@ def score(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id",)
     Null and empty texts are one window without words and get its score. Texts are scored whole; repeated
     rows repeat their scores; an empty table gives no rows; extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = columns_of(docs, *dict.fromkeys((*keep, "text")))
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
