@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import catalogue, profiling
+from loomgraph.plans import catalogue, nesting, profiling
 
-MODULES = (profiling, catalogue)
+MODULES = (profiling, catalogue, nesting)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

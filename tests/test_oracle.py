@@ -1,5 +1,6 @@
 """Every query that SQL can express, against DuckDB on the same tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from loomgraph.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 SQL = registry.oracle_sql()
 
 
