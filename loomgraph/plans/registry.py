@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import catalogue, nesting, profiling
+from loomgraph.plans import catalogue, models, nesting, profiling
 
-MODULES = (profiling, catalogue, nesting)
+MODULES = (profiling, catalogue, nesting, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
