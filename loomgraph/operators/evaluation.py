@@ -37,3 +37,26 @@ def with_average(report: DataFrame, name: str) -> DataFrame:
     """A report's rows and their average row (EV8)."""
     numbers = [c for c in report.columns if c != name]
     return report.unionByName(report.agg(*[F.avg(c).alias(c) for c in numbers]).withColumn(name, F.lit("average")))
+
+
+def concat_folds(folds: list[DataFrame], name: str) -> DataFrame:
+    """The rows of several reports without their average rows, and one average of all (EV9)."""
+    rows = folds[0].where(F.col(name) != "average")
+    for f in folds[1:]:
+        rows = rows.unionByName(f.where(F.col(name) != "average"))
+    return with_average(rows, name)
+
+
+def triple_accuracy(gold: DataFrame, pred: DataFrame, key: str, attr: str, label: str) -> DataFrame:
+    """(key, accuracy): share of gold attributes that the prediction gives the same label; a missing one counts 0 (EV10)."""
+    given = pred.select(key, attr, F.col(label).alias("given"))
+    return gold.join(given, [key, attr], "left").groupBy(key).agg(F.avg(F.coalesce((F.col("given") == F.col(label)).cast("double"), F.lit(0.0))).alias("accuracy"))
+
+
+def coherence(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(candidate, coherence): the largest share of a candidate's triples (candidate, triple) that one known
+    model (model, triple) holds; 0 where none shares any (SE13). One equality join on triples."""
+    own = candidates.distinct()
+    size = own.groupBy("candidate").agg(F.count("*").alias("n"))
+    best = own.join(known.distinct(), "triple").groupBy("candidate", "model").agg(F.count("*").alias("hits")).groupBy("candidate").agg(F.max("hits").alias("hits"))
+    return size.join(best, "candidate", "left").select("candidate", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("coherence"))

@@ -73,3 +73,34 @@ def quick_graph(spark, literals: list[str]) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in literals], "lit string")
     part = lambda k: F.get(F.split("lit", "--"), F.lit(k))
     return rows.select(part(0).alias("src"), part(2).alias("dst"), part(1).alias("label"))
+
+
+def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """(start, node, hops): whatever lies within `hops` links of each start (node), along links in either direction,
+    with its least distance (GR26). The frontier holds new nodes only, so a round costs what it adds."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seen = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
+    frontier = seen
+    for hop in range(1, hops + 1):
+        following = frontier.join(both, frontier["node"] == both["src"]).select("start", F.col("dst").alias("node")).distinct()
+        frontier = following.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def prune_childless(edges: DataFrame, gone: DataFrame, depth: int = 8) -> DataFrame:
+    """Edges left when the edges to `gone` (node) and all below them go, and then parents that keep no child, upwards
+    (GR25). A node that never had a child stays. `depth` bounds the rounds, as no path is longer."""
+    below = cascade(edges, gone, depth)
+    left = edges.join(below.select(F.col("node").alias("dst")), "dst", "left_anti").join(below.select(F.col("node").alias("src")), "src", "left_anti")
+    had = edges.select(F.col("src").alias("dst")).distinct()
+    for _ in range(depth):
+        empty = left.join(had, "dst", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_anti").select("dst").distinct()
+        left = left.join(empty, "dst", "left_anti")
+    return left
+
+
+def dot_lines(edges: DataFrame) -> DataFrame:
+    """(value): each edge as a line of a DOT digraph's body (SNK8)."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.select(F.concat(quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(" [label="), quoted("label"), F.lit("];")).alias("value"))

@@ -134,3 +134,23 @@ def oracle_labels(gold: DataFrame, predicted: DataFrame, known: DataFrame | None
     sure = gold if known is None else gold.join(known.select("label").distinct(), "label", "left_semi")
     rest = predicted.join(sure.select("col"), "col", "left_anti").select("col", "label", "score")
     return sure.select("col", "label", F.lit(1.0).alias("score")).unionByName(rest)
+
+
+def wide_scores(df: DataFrame, key: str, prefix: str = "scores_", between: str = "---") -> DataFrame:
+    """(key, cls, predicate, score, place) of a table with one column scores_<class>---<predicate> a label (SRC18)."""
+    own = [c for c in df.columns if c.startswith(prefix) and between in c]
+    parts = [c[len(prefix):].split(between, 1) for c in own]
+    rows = F.array(*[F.struct(F.lit(a).alias("cls"), F.lit(b).alias("predicate"), F.col(f"`{c}`").cast("double").alias("score")) for c, (a, b) in zip(own, parts)])
+    flat = df.select(key, F.inline(rows)).where("score is not null")
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "cls", "predicate")
+    return flat.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def one_hot(rows: DataFrame, key: str, feature: str, weight: str) -> DataFrame:
+    """(key, indices, values): named weighted features as a sparse vector over all names in order (ML6). Names are
+    numbered by one window over the distinct names, which are as many as the model has weights."""
+    names = rows.select(F.col(feature).alias("f")).distinct()
+    names = names.withColumn("i", (F.row_number().over(Window.orderBy("f")) - 1).cast("int"))
+    per = rows.groupBy(key, F.col(feature).alias("f")).agg(F.sum(weight).alias("w")).join(names, "f")
+    pairs = per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("p"))
+    return pairs.select(key, F.col("p.i").alias("indices"), F.col("p.w").alias("values"))

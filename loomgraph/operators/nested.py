@@ -87,3 +87,59 @@ def explode_paths(df: DataFrame, path: str) -> DataFrame:
             out = out.select(F.explode(col).alias("value"))
             col, kind = F.col("value"), kind.elementType
     return out.select(col.alias("value"))
+
+
+def delete_path(df: DataFrame, path: str) -> DataFrame:
+    """Without the field at a path; parents left without fields go too (SCH7)."""
+    steps = path.split("|")
+
+    def inside(parent: Column, kind, rest: list[str]) -> Column | None:
+        if kind.typeName() == "array":
+            if inside(parent, kind.elementType, rest) is None:
+                return None
+            return F.transform(parent, lambda e: inside(e, kind.elementType, rest))
+        own = kind[rest[0]]  # an unknown field is an error
+        if len(rest) == 1:
+            return None if len(kind) == 1 else parent.dropFields(rest[0])
+        made = inside(parent[rest[0]], own.dataType, rest[1:])
+        if made is None:
+            return None if len(kind) == 1 else parent.dropFields(rest[0])
+        return parent.withField(rest[0], made)
+
+    if len(steps) == 1:
+        return df.drop(steps[0])
+    made = inside(F.col(steps[0]), df.schema[steps[0]].dataType, steps[1:])
+    return df.drop(steps[0]) if made is None else df.withColumn(steps[0], made)
+
+
+def cast_path(df: DataFrame, path: str, kind: str) -> DataFrame:
+    """The field at a path as another type, null where it isn't one (SCH8)."""
+    name = path.rsplit("|", 1)[-1]
+    return _apply(df, path, lambda p: p[name].try_cast(kind))
+
+
+def cross_rows(df: DataFrame) -> DataFrame:
+    """A row for each combination of its lists' elements, objects as bar-joined columns; a row with an empty or null list
+    gives none (SNK11). Objects within list elements are left as they are."""
+    out = df
+    while True:
+        structs = [f.name for f in out.schema if f.dataType.typeName() == "struct"]
+        if not structs:
+            break
+        columns = []
+        for f in out.schema:
+            own = F.col(f"`{f.name}`")
+            columns += [own[g].alias(f"{f.name}|{g}") for g in f.dataType.names] if f.name in structs else [own]
+        out = out.select(*columns)
+    for f in out.schema:
+        if f.dataType.typeName() == "array":
+            out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != f.name], F.explode(F.col(f"`{f.name}`")).alias(f.name))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns])
+
+
+def same_scope(paths: DataFrame) -> DataFrame:
+    """(a, b, same): of every two attribute paths (path), whether they have the same parent (SCH12). Paths are few."""
+    parent = F.regexp_replace("path", r"\|?[^|]*$", "")
+    own = paths.select("path", parent.alias("parent"))
+    a, b = own.select(F.col("path").alias("a"), F.col("parent").alias("pa")), own.select(F.col("path").alias("b"), F.col("parent").alias("pb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("pa") == F.col("pb")).alias("same"))

@@ -65,3 +65,29 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int) -
     """`n` rows without replacement, with chances by weight (SE17): the least exponential keys. One pass, no full sort."""
     draw = -F.ln(uniform(F.col(key), seed)) / F.col(weight)
     return rows.where(F.col(weight) > 0).withColumn("draw", draw).orderBy("draw", key).limit(n).drop("draw")
+
+
+def without_repetition(edges: DataFrame, key: str, most: int, most_kinds: int) -> DataFrame:
+    """(key): graphs none of whose nodes has `most` or more links of one label, or `most_kinds` or more labels that
+    occur several times (SE3). `edges`: key, src, label."""
+    per = edges.groupBy(key, "src", "label").agg(F.count("*").alias("n"))
+    node = per.groupBy(key, "src").agg(F.max("n").alias("n"), F.sum((F.col("n") > 1).cast("int")).alias("kinds"))
+    bad = node.where((F.col("n") >= most) | (F.col("kinds") >= most_kinds)).select(key).distinct()
+    return edges.select(key).distinct().join(bad, key, "left_anti")
+
+
+def chain_score(edges: DataFrame, key: str, chances: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """(key, score): sum of the logs of a graph's link chances (src_label, label, dst_label, p), `floor` for links
+    never seen (SE20)."""
+    p = F.coalesce(F.greatest("p", F.lit(floor)), F.lit(floor))
+    return edges.join(chances, ["src_label", "label", "dst_label"], "left").groupBy(key).agg(F.sum(F.ln(p)).alias("score"))
+
+
+def should_stop(before: float, now: float, drop: float = 0.3, low: float = 0.3) -> bool:
+    """Whether the best score fell by more than `drop` since the last round and is below `low` (SE14)."""
+    return before - now > drop and now < low
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """`n` rows without replacement, all if there are fewer; the same for a seed on any partitioning (REL4)."""
+    return rows.withColumn("draw", uniform(F.col(key), seed)).orderBy("draw", key).limit(n).drop("draw")
