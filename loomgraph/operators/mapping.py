@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from loomgraph.operators import nested
 
-#: Fixed value: the predicate that marks the attribute holding an object's identity.
-ID_LINK = "karma:classLink"
+#: The predicate that marks the attribute holding an object's identity; scripts that use another name pass it.
+ID_LINK = "@id"
 
 #: Command names and their fields in the order they are written.
 COMMANDS = {
@@ -81,7 +81,7 @@ def _kind(schema: T.DataType, steps: tuple[str, ...]) -> T.DataType:
     return schema
 
 
-def _scope(model: Model, node: str, schema: T.StructType) -> tuple[str, ...] | None:
+def _scope(model: Model, node: str, schema: T.StructType, id_link: str) -> tuple[str, ...] | None:
     """Where a node's objects are: at its identity's parent or else at its outermost attribute's. A node whose only
     attribute is a list of values has an object for each of them."""
     attrs = model.attrs.get(node, [])
@@ -92,7 +92,7 @@ def _scope(model: Model, node: str, schema: T.StructType) -> tuple[str, ...] | N
         kind = _kind(schema, split[0])
         if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StructType):
             return split[0]
-    ids = [s for (p, _), s in zip(attrs, split) if p == ID_LINK]
+    ids = [s for (p, _), s in zip(attrs, split) if p == id_link]
     if ids:
         return ids[0][:-1]
     outer = min((s[:-1] for s in split), key=len)
@@ -103,7 +103,7 @@ def _scope(model: Model, node: str, schema: T.StructType) -> tuple[str, ...] | N
     return outer
 
 
-def objects(model: Model, schema: T.StructType) -> Column:
+def objects(model: Model, schema: T.StructType, id_link: str = ID_LINK) -> Column:
     """The struct of a row's object under the model's one root (NEST12, NEST13): '@type' and a field for each predicate.
     Nodes of an inner list give lists, those of an outer scope repeat. A predicate that occurs several times gives the
     list of its values without nulls. An object without any value is null."""
@@ -130,7 +130,7 @@ def objects(model: Model, schema: T.StructType) -> Column:
     def build(node: str, column: Column | None, env: dict) -> Column:
         values: dict[str, list[Column]] = {}
         for predicate, target in model.links.get(node, []):
-            scope = _scope(model, target, schema)
+            scope = _scope(model, target, schema, id_link)
             one = build(target, column, env) if scope is None else walk(scope, env, lambda c, e, t=target: build(t, c, e))
             values.setdefault(predicate, []).append(one)
         for predicate, path in model.attrs.get(node, []):
@@ -144,7 +144,7 @@ def objects(model: Model, schema: T.StructType) -> Column:
             void = void & e
         return F.when(~void, F.struct(F.lit(model.labels[node]).alias("@type"), *[c.alias(p) for p, c in out.items()]))
 
-    scope = _scope(model, roots[0], schema) or ()
+    scope = _scope(model, roots[0], schema, id_link) or ()
     return walk(scope, {(): None}, lambda c, e: build(roots[0], c, e))
 
 
@@ -199,9 +199,9 @@ def write_script(commands: list[dict]) -> str:
     return json.dumps({"commands": [{"_type_": c["_type_"], **{f: c[f] for f in COMMANDS[c["_type_"]] if f in c}} for c in ordered]}, indent=1, ensure_ascii=False)
 
 
-def json_objects(df: DataFrame, model: Model) -> DataFrame:
+def json_objects(df: DataFrame, model: Model, id_link: str = ID_LINK) -> DataFrame:
     """(value): the row's objects as JSON text, one a line (SNK3, NEST13); rows without any give none."""
-    made = df.select(objects(model, df.schema).alias("o")).where("o is not null")
+    made = df.select(objects(model, df.schema, id_link).alias("o")).where("o is not null")
     if isinstance(made.schema["o"].dataType, T.ArrayType):
         made = made.select(F.explode("o").alias("o")).where("o is not null")
     return made.select(F.to_json("o").alias("value"))

@@ -165,7 +165,7 @@ def test_objects_in_every_scope(spark):
     assert a["@type"] == "P" and a.v == "n1" and a.has[0]["in"].v == 5 and a.has[1] is None and [t.v for t in a.tag] == ["x", "y"]
     inner, flipped = mapping.run(df, [_bind("items|title", "I1", mapping.ID_LINK), _bind("name", "P1"), _link("I1", "P1", "by")])
     lines = [r.value for r in mapping.json_objects(inner, flipped).collect()]
-    assert lines == ['{"@type":"I","by":{"@type":"P","v":"n1"},"karma:classLink":"t1"}', '{"@type":"I","by":{"@type":"P","v":"n1"}}']
+    assert lines == ['{"@type":"I","by":{"@type":"P","v":"n1"},"@id":"t1"}', '{"@type":"I","by":{"@type":"P","v":"n1"}}']
     assert mapping.read_script(mapping.write_script(script)) == sorted(script, key=lambda c: c["_type_"] == "SetInternalLink")
     for bad in ([_bind("name", "Px")], [_bind("name", "P1"), _bind("name", "P2")], [_link("A1", "B1"), _link("C1", "B1")], [_link("A1", "B1"), _link("B1", "A1")], [{"_type_": "Nope"}]):
         with pytest.raises(ValueError):
