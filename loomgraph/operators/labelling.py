@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,3 +155,30 @@ def one_hot(rows: DataFrame, key: str, feature: str, weight: str) -> DataFrame:
     per = rows.groupBy(key, F.col(feature).alias("f")).agg(F.sum(weight).alias("w")).join(names, "f")
     pairs = per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("p"))
     return pairs.select(key, F.col("p.i").alias("indices"), F.col("p.w").alias("values"))
+
+
+def leave_one_out(features: DataFrame, gold: DataFrame, trees: int = 200, depth: int = 10) -> DataFrame:
+    """(source, col, label, score): each source's columns labelled by a forest fitted on the other sources (SIM15).
+    `gold`: col, label, source. One forest a source; sources are few. What is left needs pairs of both classes."""
+    out = None
+    for source in [r["source"] for r in gold.select("source").distinct().orderBy("source").collect()]:
+        rest, own = gold.where(F.col("source") != source), gold.where(F.col("source") == source)
+        forest = fit_forest(training_pairs(features, rest), trees, depth)
+        scores = label_scores(forest, features, rest).join(own.select("col"), "col", "left_semi")
+        one = scores.groupBy("col", "label").agg(F.max("score").alias("score")).select(F.lit(source).alias("source"), "col", "label", "score")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no sources to leave out")
+    return out
+
+
+def fit_node_probability(nodes: DataFrame, features: list[str], label: str) -> PipelineModel:
+    """Logistic regression on scaled features of nodes, as sums of label scores and least merge costs (SIM17)."""
+    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol=label)]
+    return Pipeline(stages=steps).fit(nodes)
+
+
+def node_probability(model: PipelineModel, nodes: DataFrame) -> DataFrame:
+    """Nodes with `chance`, the probability that they belong (SIM17)."""
+    out = model.transform(nodes).withColumn("chance", vector_to_array("probability")[1])
+    return out.select(*nodes.columns, "chance")

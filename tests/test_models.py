@@ -220,3 +220,18 @@ def test_weighted_sample_follows_weights(spark):
     got = [r.id for r in search.weighted_sample(df, "id", "w", 200, 1).collect()]
     assert len(set(got)) == 200 and 160 <= sum(i < 1000 for i in got) <= 198
     assert got == [r.id for r in search.weighted_sample(df.repartition(7), "id", "w", 200, 1).collect()]
+
+
+def test_leave_one_out_and_node_probability(spark):
+    rng = np.random.default_rng(5)
+    cols = [(f"s{k}_{label}", label, f"s{k}") for k in range(3) for label in ("low", "high")]
+    rows = [(c, str(v)) for c, label, _ in cols for v in rng.integers(0, 40, 60) + (500 if label == "high" else 0)]
+    f = labelling.pair_features(spark.createDataFrame(rows, "col string, v string"), spark.createDataFrame([(c, [c]) for c, _, _ in cols], "col string, tokens array<string>")).cache()
+    gold = spark.createDataFrame(cols, "col string, label string, source string")
+    got = labelling.top_labels(labelling.leave_one_out(f, gold, 15, 3), "col", "label", "score", 1).collect()
+    assert {r.col: r.label for r in got} == {c: label for c, label, _ in cols}
+    with pytest.raises(ValueError):
+        labelling.leave_one_out(f, gold.limit(0))
+    nodes = spark.createDataFrame([(i, float(i % 10), float(i), int(i % 10 > 4)) for i in range(60)], "id int, score double, cost double, good int")
+    chance = labelling.node_probability(labelling.fit_node_probability(nodes, ["score", "cost"], "good"), nodes)
+    assert chance.where("(chance > 0.5) != (good = 1)").isEmpty() and chance.count() == 60
