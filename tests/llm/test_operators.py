@@ -230,6 +230,27 @@ def test_mix(spark, odd, empty):
     assert mixing.mix(empty).taken.count() == 0
 
 
+def test_mix_reaches_every_target(spark):
+    """Sources far below a block, of one block, and above one; weights go round them."""
+    rng = random.Random(18)
+    rows = [(i, "w " * rng.randint(1, 60), "hot" if i % 2 else f"m{i % 5}") for i in range(1500)]
+    rows += [(5000 + i, "w " * n, f"tiny{i}") for i, n in enumerate((1, 7, 30, 63, 64, 65, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix(docs, mixing.MixRules(block=64, least_slots=50, slots_per_source=2, bucket=16))
+    assert made.block == 64
+    got = made.taken.toPandas()
+    per = got.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (per["taken"] == per["target"].round()).all() and (per.loc[[f"tiny{i}" for i in range(6)], "taken"] > 0).all()
+    slots = made.schedule.toPandas().sort_values("slot")
+    assert slots["slot"].tolist() == list(range(len(slots)))
+    by_sid = made.sources.toPandas().set_index("sid")
+    assert (slots.groupby("sid")["tokens"].sum() == by_sid["target"].sort_index().round()).all()
+    # In every stretch from the start, a source has its share of slots.
+    for sid, ranks in slots.groupby("sid"):
+        assert ranks["rank"].tolist() == list(range(len(ranks)))
+        assert (abs(ranks["slot"] / len(slots) - (ranks["rank"] + 0.5) / len(ranks)) <= 1 / len(ranks) + len(by_sid) / len(slots)).all()
+
+
 def test_toxicity_held_out():
     rng = random.Random(9)
     calm = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
