@@ -3,7 +3,9 @@
 A word enters as its own embedding (for words that the training sample repeats) beside the mean of the
 embeddings of its character n-grams, prefixes and ends. Two gated recurrent layers read each window of
 words forwards and backwards; attention pools their states; a logistic unit scores the window. Every
-text is scored whole, in windows that overlap by half, and its score is that of its worst window.
+text is scored whole, in windows that overlap by half, and its score is that of its worst window. A longer
+token than `piece` bytes (a script without spaces, words joined by _ or commas) is several words: its parts
+between joining characters, those still longer being cut into pieces that overlap by half.
 
 Training is multiple-instance: a document's label belongs to its worst window under the current weights.
 It takes a bounded sample of labelled rows (`positives`, `negatives`), chosen by hash from those whose
@@ -12,7 +14,9 @@ crc32(doc_id) mod 4 is not 2, weighted back to the labels' true proportion.
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +35,8 @@ class ToxicRules:
 
     positives: int = 1500
     negatives: int = 2500
+    #: Bytes of a token, without its edges, from which on it is cut into several words.
+    piece: int = 40
     window: int = 32
     stride: int = 16
     #: Windows of a document that one training round looks at.
@@ -55,14 +61,45 @@ CHUNK = 512
 _EDGES = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#%$&|-_/\\"
 
 
-def tokens(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+#: Parts of a long token, each with the joining characters behind it; all of them are among the edges.
+_PARTS = re.compile(r"[^_\-/,;:|&.\\]+[_\-/,;:|&.\\]*|[_\-/,;:|&.\\]+")
+
+
+def _bytes(word: str) -> bytes:
+    """The UTF-8 of a word without its edges."""
+    return (word.strip(_EDGES) or word).encode("utf-8", "surrogatepass")
+
+
+def pieces(word: str, most: int) -> list[str]:
+    """The parts of a long token, cut where they still hold more than `most` bytes: no character is left out."""
+    out = []
+    for part in _PARTS.findall(word):
+        if len(_bytes(part)) <= most:
+            out.append(part)
+            continue
+        ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part]).tolist()
+        start = before = 0
+        while True:
+            end = max(start + 1, bisect_right(ends, before + most))
+            out.append(part[start:end])
+            if end == len(part):
+                break
+            start = max(start + 1, bisect_right(ends, before + most // 2))
+            before = ends[start - 1]
+    return out
+
+
+def tokens(text: str | None, most: int = ToxicRules.piece) -> list[str]:
+    split = text.lower().split() if text else []
+    # No character has more than 4 bytes.
+    cut = {w: pieces(w, most) for w in {w for w in split if 4 * len(w) > most} if len(_bytes(w)) > most}
+    return [p for w in split for p in cut.get(w, (w,))] if cut else split
 
 
 def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's byte trigrams, prefixes of 4 to 7 and whole form, its edges marked: all of
     them in word order, and how many each word has."""
-    marked = [b"^" + (w.strip(_EDGES) or w).encode("utf-8", "surrogatepass")[:40] + b"$" for w in words]
+    marked = [b"^" + _bytes(w) + b"$" for w in words]
     size = np.array([len(m) for m in marked], np.int64)
     raw = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
     end = np.cumsum(size)
@@ -187,7 +224,7 @@ def starts(n: int, rules: ToxicRules) -> list[int]:
 def fit(texts: list[str | None], labels: list[int], weights: list[float], rules: ToxicRules = ToxicRules()) -> Network:
     """Trains on labelled texts."""
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(x, len(number)) for x in tokens(t)), np.int32) for t in texts]
+    ids = [np.fromiter((number.setdefault(x, len(number)) for x in tokens(t, rules.piece)), np.int32) for t in texts]
     listed = list(number)
     bare = [x.strip(_EDGES) for x in listed]
     seen: Counter[str] = Counter()
@@ -316,7 +353,8 @@ class Scorer:
         return self([text], True)[0]
 
     def __call__(self, texts: list[str | None], every: bool = False) -> list:
-        rules, split = self.network.rules, [tokens(t) for t in texts]
+        rules = self.network.rules
+        split = [tokens(t, rules.piece) for t in texts]
         flat = self._ids([x for s in split for x in s])
         lens = np.array([len(s) for s in split], np.int64)
         first = np.cumsum(lens) - lens

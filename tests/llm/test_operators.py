@@ -265,6 +265,30 @@ def test_toxicity_held_out():
     assert score([one])[0] == pytest.approx(max(score.windows(one)), abs=1e-6)
 
 
+def test_toxicity_reads_long_tokens_whole():
+    rng = random.Random(19)
+    calm = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    make = lambda bad: [rng.choice(("zogfool", "zogbrat")) if bad and rng.random() < 0.1 else rng.choice(calm) for _ in range(90)]
+    made = [(make(k % 3 == 0), int(k % 3 == 0)) for k in range(300)]
+    score = toxicity.Scorer(toxicity.fit([" ".join(w) for w, _ in made], [y for _, y in made], [1.0] * 300, toxicity.ToxicRules(rounds=5, least_steps=50)))
+    plain = [rng.choice(calm) for _ in range(90)]
+    for joint in "_-/,":
+        spaced, joined = score([" ".join(plain), " ".join([*plain, "zogfool", "zogbrat"])]), score([joint.join(plain), joint.join([*plain, "zogfool", "zogbrat"])])
+        assert joined == pytest.approx(spaced, abs=1e-5) and joined[0] < 0.3 <= joined[1]
+    # Without any joining character: what stands at the end still counts.
+    unspaced = "数据文本" * 100
+    assert score([unspaced])[0] != pytest.approx(score([unspaced + "zogfoolzogbrat" * 3])[0], abs=1e-6)
+    assert toxicity.pieces("-" * 45, 40) == ["-" * 40, "-" * 25] and toxicity.pieces("ab_--c", 4) == ["ab_--", "c"]
+    run = lambda first, n: "".join(map(chr, range(first, first + n)))
+    for word in (run(0x4E00, 120), run(0xA1, 90), run(0x1F300, 50), run(0xD800, 60), run(0x30, 9) + "_" + run(0x4E00, 40) + "," + run(0x61, 26)):
+        cut, at = toxicity.pieces(word, 40), 0
+        for p in cut:  # each piece begins within or right after the one before
+            found = word.find(p, max(0, at - len(p)))
+            assert 0 <= found <= at and len(toxicity._bytes(p)) <= 40
+            at = max(at, found + len(p))
+        assert at == len(word)
+
+
 def test_toxicity_gradients():
     rules = toxicity.ToxicRules(state=3, word_size=2, char_size=2)
     net = toxicity.Network(rules, {"a": 1})
