@@ -56,13 +56,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names; a local one only where none is set and all executors are local, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file://{tempfile.gettempdir()}/loomgraph-scratch"
 
 
@@ -113,7 +115,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     """Connected components of edges (a, b): a row (node, root) per node, the root being its smallest node.
 
     Large-star and small-star steps in turn: logarithmically many rounds, partial minima before each
-    shuffle, and joins (which adaptive execution can split) rather than lists of a hub's neighbours.
+    shuffle, and joins (which adaptive execution can split) rather than lists of a hub's neighbours. An
+    error tells if they don't settle within `rounds`; unsettled components are never returned.
     """
     # Edges are two numbers: an eighth of the partitions that texts need is enough to write them.
     parts = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
@@ -137,5 +140,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
         if (mark["n"], mark["x"]) == before:
             break
         before = (mark["n"], mark["x"])
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

@@ -1,11 +1,14 @@
 """Operator 3, MinHash near-dedup: a chosen-path set similarity join.
 
-A document is its set of distinct word shingles; equal sets are one class from the start. Each of several
+A document is its set of distinct word shingles; equal sets are one class from the start. Rows of one
+doc_id with different texts are one document: their classes are tied by a link of their own. Each of several
 independent trees sends a class down the path of its minwise tokens, one token a level. A node with few
 classes is a leaf, and its classes are compared exhaustively by their minhash sketches; a node with more
 branches on the next token. At the last level a node that is still large is compared in blocks, which
 one link each ties together. A pair at the threshold J shares a leaf of depth d with probability
-1 - (1 - J ** d) ** trees.
+1 - (1 - J ** d) ** trees; `trees` is chosen so that leaves at the last level, where only crowded nodes get,
+miss it with a probability under `miss` (leaves at the first level: far under). The sketches of a leaf are
+compared five standard deviations below the threshold.
 
 The trees only propose: their links join classes into coarse groups, and in each group the full sets are
 then compared exactly until every document is linked or refused. A group too large for one task is
@@ -38,10 +41,11 @@ class NearRules:
 
     shingle: int = 3
     percent: int = 85
-    trees: int = 16
+    #: Probability with which all trees miss a pair at exactly the threshold, in leaves at the last level.
+    miss: float = 1e-4
     #: Levels of the first and the last node of a path.
     first: int = 3
-    last: int = 6
+    last: int = 5
     #: Classes a leaf holds at most.
     leaf: int = 256
     #: Classes, and shingles, of a group that one task compares; larger groups are cut into blocks.
@@ -49,11 +53,15 @@ class NearRules:
     block_shingles: int = 4_000_000
     hubs: int = 16
 
+    @property
+    def trees(self) -> int:
+        return math.ceil(math.log(self.miss) / math.log(1 - min(0.99, self.percent / 100) ** self.last))
+
     @property
     def lenient(self) -> float:
-        """The sketch similarity from which the trees propose: four standard deviations under the threshold."""
+        """The sketch similarity from which the trees propose: five standard deviations under the threshold."""
         j, k = self.percent / 100, self.trees * self.last
-        return j - 4 * math.sqrt(max(j * (1 - j), 0.05) / k)
+        return j - 5 * math.sqrt(max(j * (1 - j), 0.05) / k)
 
 
 class _Hashes(dict):
@@ -120,6 +128,11 @@ def _sketches(sig: np.ndarray) -> np.ndarray:
     return ((sig * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set, which with its size name its class."""
+    return int((s * _MULTIPLY).sum(dtype=np.uint64).astype(np.int64)), int(_mix(s ^ np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _sign(docs: DataFrame, rules: NearRules) -> DataFrame:
     """doc_id, n_shingles, the set's hash (h1, h2), its minhash values and its sketch (null for empty sets)."""
     n = rules.trees * rules.last
@@ -131,8 +144,7 @@ def _sign(docs: DataFrame, rules: NearRules) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full], n) if full else np.zeros((0, n), np.uint32)
                 sketch, place = _sketches(sig), {i: k for k, i in enumerate(full)}
-                h1 = [int((s * _MULTIPLY).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                h2 = [int(_mix(s ^ np.uint64(77)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+                h1, h2 = zip(*map(set_hash, sets), strict=True) if sets else ((), ())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
@@ -226,31 +238,40 @@ def _linked(one: np.ndarray, tokens: np.ndarray, owner: np.ndarray, sizes: np.nd
     return 100 * shared >= percent * (sizes + len(one) - shared)
 
 
-def _expand(one: int, others: np.ndarray, sets: list[np.ndarray], size: np.ndarray, sketch: np.ndarray, rules: NearRules) -> np.ndarray:
-    """Those of `others` that the set `one` is linked with, by size, then sketch, then the full sets."""
+#: Buckets of the counts that bound an intersection.
+_BUCKETS = 512
+
+
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of every set fall into each bucket (a row per set). The sum of the smaller counts
+    of two sets is at least their intersection, so it refuses no pair that is linked."""
+    out = np.zeros((len(sets), _BUCKETS), np.int32)
+    for row, one in zip(out, sets, strict=True):
+        row += np.bincount((one & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS).astype(np.int32)
+    return out
+
+
+def _expand(one: int, others: np.ndarray, sets: list[np.ndarray], size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Those of `others` that the set `one` is linked with: exact bounds by size and by counts, then the full sets."""
     low, high = np.minimum(size[others], size[one]), np.maximum(size[others], size[one])
-    others = others[100 * low >= rules.percent * high]
-    if len(others) > 16:
-        alike = (sketch[others] == sketch[one]).sum(1, dtype=np.int32)
-        others = others[alike >= rules.lenient * sketch.shape[1]]
-    if not len(others):
-        return others
-    found = []
+    others = others[100 * low >= percent * high]
+    found = [others[:0]]
     for k in range(0, len(others), 256):
         part = others[k : k + 256]
-        owner = np.repeat(np.arange(len(part)), size[part])
-        found.append(part[_linked(sets[one], np.concatenate([sets[i] for i in part]), owner, size[part], rules.percent)])
+        most = np.minimum(counts[part], counts[one]).sum(1)
+        part = part[100 * most >= percent * (size[part] + size[one] - most)]
+        if len(part):
+            owner = np.repeat(np.arange(len(part)), size[part])
+            found.append(part[_linked(sets[one], np.concatenate([sets[i] for i in part]), owner, size[part], percent)])
     return np.concatenate(found)
 
 
-def exact_links(ids: list[int], texts: list[str], rules: NearRules, first: list[bool] | None = None) -> list[tuple[int, int]]:
-    """(root, other) links of the exact components of a group: each document in turn reaches, among those
-    not yet in any component, all that it is linked with."""
-    once = {d: i for i, d in reversed(list(enumerate(ids)))}
-    place = sorted(once.values(), key=lambda i: (not (first and first[i]), ids[i]))
-    sets = [shingle_set(texts[i], rules.shingle) for i in place]
-    size = np.array([len(s) for s in sets])
-    sketch = _sketches(signatures(sets, rules.trees * rules.last)) if len(sets) > 17 else np.zeros((len(sets), 1), np.uint8)
+def exact_links(ids: list[int], sets: list[np.ndarray], rules: NearRules, first: list[bool] | None = None) -> list[tuple[int, int]]:
+    """(root, other) links of the exact components of a group of different classes: each in turn reaches,
+    among those not yet in any component, all that it is linked with."""
+    place = sorted(range(len(ids)), key=lambda i: (not (first and first[i]), ids[i]))
+    sets = [sets[i] for i in place]
+    size, counts = np.array([len(s) for s in sets]), _counts(sets)
     free, links = np.ones(len(sets), bool), []
     for root in range(len(sets)):
         if not free[root]:
@@ -258,7 +279,7 @@ def exact_links(ids: list[int], texts: list[str], rules: NearRules, first: list[
         free[root], front = False, [root]
         while front:
             one = front.pop()
-            found = _expand(one, np.flatnonzero(free), sets, size, sketch, rules)
+            found = _expand(one, np.flatnonzero(free), sets, size, counts, rules.percent)
             free[found] = False
             links += [(ids[place[root]], ids[place[j]]) for j in found]
             front += found.tolist()
@@ -266,11 +287,11 @@ def exact_links(ids: list[int], texts: list[str], rules: NearRules, first: list[
 
 
 def cross_links(left: pd.DataFrame, right: pd.DataFrame, rules: NearRules) -> list[tuple[int, int]]:
-    """Links between the documents of two blocks (rep, label, text) whose labels differ; each label pair once."""
-    ids = [*left["rep"], *right["rep"]]
-    sets = [shingle_set(t, rules.shingle) for t in [*left["text"], *right["text"]]]
+    """Links between the classes of two blocks (cid, label, set) whose labels differ; each label pair once."""
+    ids = [*left["cid"], *right["cid"]]
+    sets = [*left["set"], *right["set"]]
     label = np.array([*left["label"], *right["label"]])
-    size, sketch = np.array([len(s) for s in sets]), _sketches(signatures(sets, rules.trees * rules.last))
+    size, counts = np.array([len(s) for s in sets]), _counts(sets)
     joined: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -282,7 +303,7 @@ def cross_links(left: pd.DataFrame, right: pd.DataFrame, rules: NearRules) -> li
     for i in range(len(left), len(ids)):
         own = top(int(label[i]))
         tops = np.array([top(int(x)) for x in label[: len(left)]])
-        for j in _expand(i, np.flatnonzero(tops != own), sets, size, sketch, rules):
+        for j in _expand(i, np.flatnonzero(tops != own), sets, size, counts, rules.percent):
             other = top(int(label[j]))
             if other != top(own):
                 joined[other] = top(own)
@@ -290,47 +311,76 @@ def cross_links(left: pd.DataFrame, right: pd.DataFrame, rules: NearRules) -> li
     return links
 
 
+def _with_sets(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
+    """One row per class, with its set. A class's text comes by doc_id, which may have other texts too:
+    those of another class are left out, and so are repeated rows."""
+    sets, seen, keep = [], set(), []
+    for i, (cid, text, h1, h2) in enumerate(zip(pdf["cid"], pdf["text"], pdf["h1"], pdf["h2"], strict=True)):
+        if cid in seen:
+            continue
+        one = shingle_set(text, size)
+        if set_hash(one) == (h1, h2):
+            seen.add(cid)
+            keep.append(i)
+            sets.append(one)
+    return pdf.iloc[keep].drop(columns=["text"]).assign(set=pd.Series(sets, dtype=object).to_numpy())
+
+
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of docs.
 
-    Null and empty texts have empty sets and are linked with nothing. Rows with one doc_id count as one
-    document for links and are returned each. Rows without a doc_id are kept
-    and linked with nothing. Texts are read whole. An empty table gives no rows.
+    Null and empty texts have empty sets and are linked with nothing. Rows with one doc_id are one document:
+    each row is returned with its own text's n_shingles, and whatever one of its texts is linked with is
+    linked with all of them. Rows without a doc_id are kept and linked with nothing. Texts are read whole.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.write(_sign(docs, rules))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
-    reps = scratch.write(classes.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    proposed = _propose(reps, rules, scratch)
-    coarse = scratch.write(components(proposed, scratch).withColumnRenamed("node", "rep"))
+    key = ["h1", "h2", "n_shingles"]
+    some_id = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = some_id.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    # Written at once: a class's number is unique by its partition and row, and stays what it is.
+    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
+    proposed = _propose(classes.select(F.col("cid").alias("rep"), "sig", "sketch"), rules, scratch)
+    coarse = scratch.write(components(proposed, scratch).withColumnRenamed("node", "cid"))
     scratch.collect_shuffles()
 
-    sized = coarse.join(reps.select("rep", "n_shingles"), "rep")
+    sized = coarse.join(classes.select("cid", *key, "doc_id"), "cid")
     parts = F.greatest(F.ceil(F.count("*") / rules.block), F.ceil(F.sum("n_shingles") / rules.block_shingles))
     groups = scratch.write(sized.groupBy("root").agg(parts.cast("int").alias("parts")))
-    block = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int")
-    members = coarse.join(groups, "root").select("root", "rep", "parts", block.alias("part"))
+    block = F.pmod(F.xxhash64("h1", F.lit(5)), F.col("parts")).cast("int")
+    members = sized.join(groups, "root").select("root", "cid", "doc_id", "h1", "h2", "parts", block.alias("part"))
     some = groups.where("parts > 1").limit(1).count()
-    texts = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = members.select("root", "part", "rep", F.lit(False).alias("hub"))
+    texts = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = members.select("root", "part", "cid", "doc_id", "h1", "h2", F.lit(False).alias("hub"))
     if some:
-        degree = proposed.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("degree"))
-        best = Window.partitionBy("root").orderBy(F.desc("degree"), "rep")
-        hubs = members.where("parts > 1").join(degree, "rep").withColumn("k", F.row_number().over(best)).where(F.col("k") <= rules.hubs)
-        hubs = hubs.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", F.lit(True).alias("hub"))
+        degree = proposed.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("degree"))
+        best = Window.partitionBy("root").orderBy(F.desc("degree"), "h1", "cid")
+        hubs = members.where("parts > 1").join(degree, "cid").withColumn("k", F.row_number().over(best)).where(F.col("k") <= rules.hubs)
+        hubs = hubs.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "doc_id", "h1", "h2", F.lit(True).alias("hub"))
         rows = rows.unionByName(hubs)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(exact_links(pdf["rep"].tolist(), pdf["text"].tolist(), rules, pdf["hub"].tolist()), columns=["a", "b"])
+        one = _with_sets(pdf.sort_values("hub", ascending=False, kind="stable"), rules.shingle)
+        return pd.DataFrame(exact_links(one["cid"].tolist(), one["set"].tolist(), rules, one["hub"].tolist()), columns=["a", "b"])
 
-    links = scratch.write(rows.join(texts, "rep").groupBy("root", "part").applyInPandas(local, "a long, b long"))
+    links = scratch.write(rows.join(texts, "doc_id").groupBy("root", "part").applyInPandas(local, "a long, b long"))
     if some:
         links = scratch.write(links.unionByName(_across(members.where("parts > 1"), links, texts, rules, scratch)))
+    # Documents with several texts: their classes belong together. Few rows are left of a narrow aggregate.
+    differ = [F.min(k) != F.max(k) for k in key]
+    several = some_id.groupBy("doc_id").agg((differ[0] | differ[1] | differ[2]).alias("differ")).where("differ").select("doc_id")
+    several = some_id.join(several, "doc_id").join(classes.select("cid", *key), key).select("doc_id", "cid").distinct()
+    least = several.groupBy("doc_id").agg(F.min("cid").alias("a"))
+    links = links.unionByName(several.join(least, "doc_id").select("a", F.col("cid").alias("b")).where("a <> b"))
     found = components(links, scratch)
-    roots = reps.select("h1", "h2", "n_shingles", "rep").join(found.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    roots = roots.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2", "n_shingles"], "left")
+    # A component's number is the smallest doc_id of its classes.
+    named = classes.select("cid", *key, "doc_id").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    named = named.withColumn("root", F.coalesce("root", "cid")).select(*key, "doc_id", "root")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = named.join(smallest, "root").select(*key, "component_id")
+    out = signed.select("doc_id", *key).join(roots, key, "left")
     component = F.coalesce("component_id", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), component)
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
@@ -339,19 +389,22 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
 
 def _across(members: DataFrame, links: DataFrame, texts: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
     """Links between blocks of large groups: what is outside a group's main component meets every block."""
-    found = components(links, scratch).select(F.col("node").alias("rep"), F.col("root").alias("label"))
-    rows = members.join(found, "rep", "left").select("root", "part", "parts", "rep", F.coalesce("label", "rep").alias("label"))
+    found = components(links, scratch).select(F.col("node").alias("cid"), F.col("root").alias("label"))
+    with_text = ["cid", "doc_id", "h1", "h2"]
+    rows = members.join(found, "cid", "left").select("root", "part", "parts", *with_text, F.coalesce("label", "cid").alias("label"))
     rows = scratch.write(rows)
     most = rows.groupBy("root", "label").agg(F.count("*").alias("n"))
     main = most.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = rows.join(main, "root").where("label <> main").select("root", "rep", "label", "parts")
+    rest = rows.join(main, "root").where("label <> main").select("root", *with_text, "label", "parts")
     cuts = rest.groupBy("root").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("cuts"))
-    rest = rest.join(cuts, "root").withColumn("cut", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("cuts")).cast("int"))
-    right = rest.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cut", "rep", "label").join(texts, "rep")
-    left = rows.join(cuts, "root").select("root", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "rep", "label").join(texts, "rep")
+    rest = rest.join(cuts, "root").withColumn("cut", F.pmod(F.xxhash64("h1", F.lit(9)), F.col("cuts")).cast("int"))
+    right = rest.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cut", *with_text, "label").join(texts, "doc_id")
+    left = rows.join(cuts, "root").select("root", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), *with_text, "label").join(texts, "doc_id")
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(cross_links(a, b, rules) if len(a) and len(b) else [], columns=["a", "b"])
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=["a", "b"])
+        return pd.DataFrame(cross_links(_with_sets(a, rules.shingle), _with_sets(b, rules.shingle), rules), columns=["a", "b"])
 
     # New names inside the plan: both sides come from the same tables.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
