@@ -5,21 +5,26 @@ so equal windows have equal anchors at equal offsets. Neighbouring windows with
 Most anchors occur once in the corpus and their windows repeat nowhere; counting anchors drops them.
 What is left is settled by anchor:
 
-- runs of equal content: all but the first are repeated whole;
+- runs with equal content hashes: all but the first are repeated whole;
 - first runs of different content that share an anchor: the suffixes that start at their windows are
   sorted by a mergesort whose comparisons find the common extension of two suffixes by binary search on
-  prefix polynomial hashes, a logarithmic number of probes each. Suffixes that then stand together with a
-  common extension of a whole window are verified byte by byte; the earliest stays.
+  prefix polynomial hashes, a logarithmic number of probes each. The earliest of equal windows stays;
+- an anchor with more than `group` different contents (a passage in very many contexts) is taken apart into
+  windows, each by its own hash; of those hashes that several windows have, all but the first are repeated.
 
-Counts and first runs are partial aggregates before any shuffle, so a passage in a third of all documents
-is one row a task. An anchor with very many different contents is split by its windows' own hashes.
+Every claim of the hashes is verified by bytes. Neighbours in the sorted order are compared byte by byte,
+and a group whose order the bytes refute is settled by them instead. Runs and windows with equal hashes
+are grouped by their bytes; should one hash stand for two byte strings, all is done again with other hashes.
+
+Counts, first runs and the verification are partial aggregates before any shuffle, so a passage in a third
+of all documents is one row a task, and no group that one task sorts exceeds `group` contents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,13 @@ class SuffixRules:
 
     length: int = 100
     kgram: int = 36
-    #: Different contents of one anchor that one task sorts; beyond it they are split by window.
-    group: int = 20_000
+    #: Seed of all hashes, and how often another one is tried where two contents have one hash.
+    seed: int = 7
+    attempts: int = 4
+    #: Bits of the first attempt's content hashes; fewer only in tests, to have hashes collide.
+    bits: int = 64
+    #: Different contents of one anchor that one task sorts; beyond it they are taken apart into windows.
+    group: int = 2_000
     #: Suffixes sorted at a time.
     batch: int = 200_000
 
@@ -48,8 +58,8 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 class _Hasher:
     """Polynomial hashes modulo 2 ** 64 over a byte's random number."""
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(7)
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
         self.of = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + rng.integers(0, 2, 256).astype(np.uint64)
         self.grow(_SPACE)
 
@@ -73,13 +83,13 @@ class _Hasher:
         return (prefix[end] - prefix[start]) * self.inverse[start]
 
 
-_HASHER: list[_Hasher] = []
+_HASHER: dict[int, _Hasher] = {}
 
 
-def _hasher() -> _Hasher:
-    if not _HASHER:
-        _HASHER.append(_Hasher())
-    return _HASHER[0]
+def _hasher(seed: int = SuffixRules.seed) -> _Hasher:
+    if seed not in _HASHER:
+        _HASHER[seed] = _Hasher(seed)
+    return _HASHER[seed]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +101,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def runs_of(raws: list[bytes], rules: SuffixRules) -> tuple[np.ndarray, ...]:
     """Of texts that fit one buffer: anchor hash, content hash, text, start, windows, anchor's offset, per run."""
     length, k = rules.length, rules.kgram
-    hasher, raw = _hasher(), np.frombuffer(b"".join(raws), np.uint8)
+    hasher, raw = _hasher(rules.seed), np.frombuffer(b"".join(raws), np.uint8)
     n = len(raw)
     sizes = np.array([len(r) for r in raws], np.int64)
     ends = np.cumsum(sizes)
@@ -114,7 +124,7 @@ def runs_of(raws: list[bytes], rules: SuffixRules) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(valid)))
     start, anchor = valid[first], anchor[first]
-    content = _mix(hasher.part(prefix, start, start + count - 1 + length) ^ count.astype(np.uint64))
+    content = _mix(hasher.part(prefix, start, start + count - 1 + length) ^ count.astype(np.uint64)) >> np.uint64(64 - rules.bits)
     text = np.searchsorted(ends, start, side="right")
     return gram[anchor].astype(np.int64), content.astype(np.int64), text, start - (ends - sizes)[text], count, anchor - start
 
@@ -228,20 +238,46 @@ def repeated_windows(contents: list[bytes], group: np.ndarray, doc: np.ndarray,
     new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
     order, common = sort_suffixes(raw, at, np.cumsum(new), length)
     same = common >= length
-    # Collision verification: what the hashes call equal is compared byte by byte.
-    span = np.arange(length)
-    which = np.flatnonzero(same)
-    for k in range(0, len(which), 20_000):
-        part = which[k : k + 20_000]
-        if (raw[at[order[part]][:, None] + span] != raw[at[order[part - 1]][:, None] + span]).any():
-            raise ArithmeticError("two different windows have one polynomial hash; change the base")
+    bucket = np.cumsum(new)
     hit = order[same]
+    wrong = refuted(raw, at[order], bucket, same, length)
+    if len(wrong):  # two strings have one hash: these buckets are settled by the windows' bytes
+        hit = hit[~np.isin(bucket[hit], wrong)]
+        seen: set[tuple[int, bytes]] = set()
+        again = []
+        for i in np.flatnonzero(np.isin(bucket, wrong)).tolist():  # in order of document and start
+            window = int(bucket[i]), raw[at[i] : at[i] + length].tobytes()
+            again += [i] if window in seen else []
+            seen.add(window)
+        hit = np.concatenate([hit, np.array(again, np.int64)])
     return np.stack([doc[run[hit]], start[run[hit]] + within[hit]], 1)
 
 
-def _extract(lists: DataFrame, rules: SuffixRules) -> DataFrame:
-    """Contents of listed runs (doc_id, text, runs): key, content, doc_id, start, windows, offset."""
-    length = rules.length
+def refuted(raw: np.ndarray, at: np.ndarray, bucket: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
+    """Buckets in which the bytes of neighbouring windows `at` contradict their order, or whether they are the
+    `same`. Where none does, the order is that of the bytes, and equal windows stand together."""
+    padded, words = np.append(raw, np.zeros(8, np.uint8)).astype(np.uint64), np.zeros(len(raw), np.uint64)
+    for k in range(8):  # big-endian numbers are in the order of their bytes
+        words |= padded[k : k + len(raw)] << np.uint64(56 - 8 * k)
+    wrong = []
+    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    for k in range(1, len(at), 100_000):
+        here = np.arange(k, min(len(at), k + 100_000))
+        here = here[bucket[here] == bucket[here - 1]]
+        a, b = at[here - 1], at[here]
+        equal, less = np.ones(len(here), bool), np.zeros(len(here), bool)
+        for step in steps:
+            x, y = words[a + step], words[b + step]
+            less |= equal & (x < y)
+            equal &= x == y
+        wrong.append(bucket[here[np.where(same[here], ~equal, equal | ~less)]])
+    return np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.int64)
+
+
+def _extract(lists: DataFrame, rules: SuffixRules, apart: bool = False) -> DataFrame:
+    """Contents of listed runs (doc_id, text, runs): key (the anchor), hash, content, doc_id, start, windows,
+    offset, sort. `apart`: a row per window instead, with its own hash as the key and no content."""
+    length, shift = rules.length, 64 - rules.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,18 +288,23 @@ def _extract(lists: DataFrame, rules: SuffixRules) -> DataFrame:
                     whole = raw[r["start"] : r["start"] + r["windows"] - 1 + length]
                     if len(whole) != r["windows"] - 1 + length:
                         continue  # another text under the same doc_id
-                    if not r["hot"]:
-                        out.append((r["anchor"], whole, doc, r["start"], r["windows"], r["offset"]))
+                    if not apart:
+                        out.append((r["anchor"], r["hash"], whole, doc, r["start"], r["windows"], r["offset"], r["sort"]))
                         continue
-                    for i in range(r["windows"]):  # very many contents: each window by its own hash
-                        one = whole[i : i + length]
-                        key = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                        out.append((key, one, doc, r["start"] + i, 1, r["offset"] - i))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "content", "doc_id", "start", "windows", "offset"])
+                    for i in range(r["windows"]):
+                        digest = hashlib.blake2b(whole[i : i + length], digest_size=8, salt=rules.seed.to_bytes(8, "little")).digest()
+                        out.append((int.from_bytes(digest, "little", signed=True) >> shift, 0, None, doc, r["start"] + i, 1, 0, False))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "hash", "content", "doc_id", "start", "windows", "offset", "sort"])
+
+    return lists.mapInArrow(run, "key long, hash long, content binary, doc_id long, start long, windows int, offset int, sort boolean")
+
 
-    return lists.mapInArrow(run, "key long, content binary, doc_id long, start long, windows int, offset int")
+def _by_document(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, text and the runs (anchor, hash, start, windows, offset, sort) of every document that has some."""
+    run = F.struct("anchor", "hash", "start", "windows", "offset", "sort").alias("run")
+    return rows.join(runs.select("doc_id", run).groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "doc_id")
 
 
 def _sorted_out(rows: DataFrame, rules: SuffixRules) -> DataFrame:
@@ -271,8 +312,16 @@ def _sorted_out(rows: DataFrame, rules: SuffixRules) -> DataFrame:
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        col = lambda n: t.column(n).to_numpy().astype(np.int64)
-        hit = repeated_windows(t.column("content").to_pylist(), *(col(n) for n in ("key", "doc_id", "start", "windows", "offset")), rules.length)
+        contents = t.column("content").to_pylist()
+        cols = [t.column(n).to_numpy().astype(np.int64) for n in ("key", "doc_id", "start", "windows", "offset")]
+        # A repeated row brings its runs again, at the same places.
+        order = np.lexsort(cols[3::-1])
+        same = np.all([c[order[1:]] == c[order[:-1]] for c in cols[:4]], axis=0)
+        gone = {int(order[i + 1]) for i in np.flatnonzero(same) if contents[order[i + 1]] == contents[order[i]]}
+        if gone:
+            stay = np.array([i for i in range(len(contents)) if i not in gone])
+            contents, cols = [contents[i] for i in stay], [c[stay] for c in cols]
+        hit = repeated_windows(contents, *cols, rules.length)
         hit = hit[np.lexsort((hit[:, 1], hit[:, 0]))]
         new = np.ones(len(hit), bool)
         new[1:] = (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1] + 1)
@@ -301,32 +350,70 @@ def _sorted_out(rows: DataFrame, rules: SuffixRules) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame:
-    """doc_id, start, end (bytes) of spans that windows cover which start earlier too; spans may overlap."""
-    rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+_KIND = ["anchor", "hash", "windows", "offset"]
+
+
+def _kinds(runs: DataFrame) -> DataFrame:
+    """Runs with equal hashes: how many, and the first."""
+    return runs.groupBy(*_KIND).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+
+
+def _firsts(kinds: DataFrame) -> DataFrame:
+    return kinds.select(*_KIND, "first.doc_id", "first.start")
+
+
+def _not_first(runs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The runs of kinds that several runs have, but for each kind's first."""
+    later = F.struct("doc_id", "start") != F.col("first")
+    return runs.join(kinds.where("n > 1").select(*_KIND, "first"), _KIND).where(later).select(*_KIND, "doc_id", "start")
+
+
+def _attempt(rows: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame | None:
+    """The repeated spans, or nothing if one hash stands for two contents."""
     again = scratch.write(_runs(rows, rules, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     scratch.collect_shuffles()
-    runs = scratch.write(_runs(rows, rules, False).join(again, "anchor", "left_semi"))
+    runs = scratch.write(_runs(rows, rules, False).join(again, "anchor", "left_semi").withColumnRenamed("content", "hash"))
     scratch.free(again)
     scratch.collect_shuffles()
-    kinds = runs.groupBy("anchor", "content", "windows", "offset").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    kinds = scratch.write(kinds)
+    kinds = scratch.write(_kinds(runs))
     scratch.collect_shuffles()
-    key = ["anchor", "content", "windows", "offset"]
-    whole = runs.join(kinds, key).where(F.struct("doc_id", "start") != F.col("first"))
-    whole = whole.select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + rules.length).alias("end"))
-    whole = scratch.write(whole)
+    repeats = scratch.write(_not_first(runs, kinds))
     scratch.free(runs)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = kinds.join(several, "anchor").select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.struct("anchor", F.col("first.start").alias("start"), "windows", "offset", (F.col("kinds") > rules.group).alias("hot")).alias("run"),
-    )
-    lists = mixed.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    contents = _extract(rows.join(lists, "doc_id"), rules)
-    mixed_out = scratch.write(_sorted_out(contents, rules))
-    scratch.free(kinds)
-    return whole.unionByName(mixed_out)
+    mixed = scratch.write(_firsts(kinds).join(several, "anchor"))
+    found, equal = [repeats], [repeats, _firsts(kinds.where("n > 1"))]
+    crowded = mixed.where(F.col("kinds") > rules.group).drop("kinds")
+    if crowded.limit(1).count():
+        apart = _extract(_by_document(rows, crowded.withColumn("sort", F.lit(False))), rules, apart=True)
+        windows = scratch.write(apart.select(F.col("key").alias("anchor"), "hash", "doc_id", "start", "windows", "offset"))
+        shared = scratch.write(_kinds(windows).where("n > 1"))
+        found.append(scratch.write(_not_first(windows, shared)))
+        equal += [found[-1], _firsts(shared)]
+    # One more pass over the texts for all contents: those to sort, and those with equal hashes, to verify.
+    wanted = mixed.where(F.col("kinds") <= rules.group).drop("kinds").withColumn("sort", F.lit(True))
+    for one in equal:
+        wanted = wanted.unionByName(one.withColumn("sort", F.lit(False)))
+    contents = scratch.write(_extract(_by_document(rows, wanted), rules))
+    scratch.free(kinds, mixed)
+    distinct = contents.where("not sort").select("key", "hash", "windows", "offset", "content").distinct()
+    strings = distinct.groupBy("key", "hash", "windows", "offset").agg(F.count("*").alias("strings"))
+    if strings.where("strings > 1").limit(1).count():
+        return None
+    out = scratch.write(_sorted_out(contents.where("sort").drop("hash", "sort"), rules))
+    scratch.free(contents)
+    for one in found:
+        out = out.unionByName(one.select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + rules.length).alias("end")))
+    return out
+
+
+def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame:
+    """doc_id, start, end (bytes) of spans that windows cover which start earlier too; spans may overlap."""
+    rows = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    for k in range(rules.attempts):
+        out = _attempt(rows, replace(rules, seed=rules.seed + k, bits=64 if k else rules.bits), scratch)
+        if out is not None:
+            return out
+    raise ArithmeticError(f"contents with one hash under each of {rules.attempts} seeds")
 
 
 def dedup_substrings(docs: DataFrame, rules: SuffixRules = SuffixRules(), keep: tuple[str, ...] = ()) -> DataFrame:
