@@ -1,9 +1,13 @@
 """Operator 10, best-fit packing: bounded-space online best-fit into sequences of a fixed length.
 
-Every task packs the documents it scans, so nothing is shuffled. It keeps a fixed number of open bins in
-a bitset keyed by free space: the lowest set bit at or above a piece's length is the tightest bin that
-takes it, and when no more bins may open the fullest one closes. Pieces of one Arrow slice are placed
-longest first.
+Every task packs the documents it scans, in the order in which they come. It keeps a fixed number of open
+bins in a bitset keyed by free space: the lowest set bit at or above a piece's length is the tightest bin
+that takes it, and when no more bins may open the fullest one closes. A task holds only the pieces of its
+open bins; those of a closed bin go out.
+
+What is open when a task ends, and still has room, would leave every task with its own half-empty
+sequences. These pieces alone are shuffled, into groups of some thousand sequences, and packed once more
+in the same way, so the number of sequences hardly depends on the number of partitions.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns_of, slices, small_batches
+from loomgraph.llm.common import Scratch, columns_of, slices
 
 #: Characters on which every Unicode version agrees; other texts take the tokenizer's own, slower road.
 _ODD = re.compile("[^\t\n\r -~¡-ɏ]")
@@ -38,7 +42,11 @@ class PackingRules:
     tokenizer: str = field(default_factory=_own_tokenizer)
     length: int = 2048
     end_id: int = 0
-    open_bins: int = 2048
+    open_bins: int = 256
+    #: A bin that is open when its task ends is packed again if so much of it is free.
+    loose: float = 1 / 128
+    #: Sequences that one task of the second packing makes, about.
+    group: int = 2048
 
 
 class Encoder:
@@ -74,14 +82,14 @@ class Encoder:
 
 
 class OpenBins:
-    """Open bins in a bitset keyed by free space."""
+    """Open bins in a bitset keyed by free space; each holds what was placed in it until it closes."""
 
-    def __init__(self, length: int, most: int, next_id: int):
-        self.length, self.most, self.next_id = length, most, next_id
+    def __init__(self, length: int, most: int):
+        self.length, self.most = length, most
         self.bits, self.open = 0, 0
-        self.by_free: list[list[int]] = [[] for _ in range(length + 1)]
+        self.by_free: list[list[list]] = [[] for _ in range(length + 1)]
 
-    def _take(self, free: int) -> int:
+    def _take(self, free: int) -> list:
         bins = self.by_free[free]
         one = bins.pop()
         if not bins:
@@ -89,23 +97,29 @@ class OpenBins:
         self.open -= 1
         return one
 
-    def place(self, n: int) -> tuple[int, int]:
-        """The bin and the offset in it for a piece of length n."""
-        fits = self.bits >> n
+    def place(self, n: int, what: object) -> list[list]:
+        """Puts a piece of length n into the tightest bin; returns the bins that this closes."""
+        closed, fits = [], self.bits >> n
         if fits:
             free = n + (fits & -fits).bit_length() - 1
             one = self._take(free)
         else:
             if self.open >= self.most:
-                self._take((self.bits & -self.bits).bit_length() - 1)
-            one, free = self.next_id, self.length
-            self.next_id += 1
+                closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
+            one, free = [], self.length
+        one.append(what)
         left = free - n
         if left:
             self.by_free[left].append(one)
             self.bits |= 1 << left
             self.open += 1
-        return one, self.length - free
+        else:
+            closed.append(one)
+        return closed
+
+    def rest(self) -> list[tuple[int, list]]:
+        """(free space, bin) of the bins still open."""
+        return [(free, one) for free, bins in enumerate(self.by_free) for one in bins]
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -114,41 +128,84 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, n, length)]
 
 
+_PIECE = ("doc_id", "piece", "start", "length", "ids")
+
+
+class _Sequences:
+    """Gathers closed bins as rows; the numbers of sequences go on from `first`."""
+
+    def __init__(self, first: int, kind: pa.DataType):
+        self.next, self.kind, self.rows, self.held = first, kind, [], 0
+
+    def close(self, bins: list[list], loose: bool = False) -> None:
+        for one in bins:
+            offset = 0
+            for piece in one:
+                self.rows.append((*piece, self.next, offset, loose))
+                offset += piece[3]
+            self.held += offset
+            self.next += 1
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows, strict=True)) or [()] * 8
+        kinds = (self.kind, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+        self.rows, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*_PIECE, "sequence_id", "offset", "loose"])
+
+
+#: Token ids of finished sequences that a task gathers before it passes them on.
+_HELD = 1 << 20
+
+
 def pack(docs: DataFrame, rules: PackingRules | None = None, encoder: Callable[[str], Callable[[str | None], np.ndarray]] = Encoder) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
 
     A null or empty text is the end id alone. Documents up to the sequence length stay whole; each text
-    is tokenized whole. Repeated rows are packed each; an empty table gives no rows. Sequence numbers
-    hold the task's partition in their upper bits, so a task that runs again gives the same ones.
+    is tokenized whole. Repeated rows are packed each, rows without a doc_id too; an empty table gives no
+    rows. Sequence numbers hold the task's partition in their upper bits, those of the second packing
+    below zero. The first packing is written to the shared folder, so texts are tokenized once.
     """
     rules = rules or PackingRules()
-    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = columns_of(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long, loose boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(rules.tokenizer)
-        bins = OpenBins(rules.length, rules.open_bins, TaskContext.get().partitionId() << 36)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, bins, out = encoder(rules.tokenizer), OpenBins(rules.length, rules.open_bins), None
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
-                pieces = []
-                for at, text in enumerate(batch.column("text").to_pylist()):
+            out = out or _Sequences(TaskContext.get().partitionId() << 36, whole.schema.field("doc_id").type)
+            for batch in slices(whole, "text", 4 << 20):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = np.append(encode(text), np.uint32(rules.end_id)).astype("<u4")
-                    pieces += [(at, k, start, n, ids[start : start + n].tobytes()) for k, (start, n) in enumerate(cuts(len(ids), rules.length))]
-                pieces.sort(key=lambda p: -p[3])
-                placed = [bins.place(p[3]) for p in pieces]
-                at, piece, start, length, raw = zip(*pieces, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(at, pa.int32())),
-                        pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                        pa.array(raw, pa.binary()),
-                        pa.array([p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
-                )
-
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+                    for k, (start, n) in enumerate(cuts(len(ids), rules.length)):
+                        out.close(bins.place(n, (doc, k, start, n, ids[start : start + n].tobytes())))
+                    if out.held >= _HELD:
+                        yield out.batch()
+        if out:
+            for free, one in bins.rest():
+                out.close([one], loose=free >= rules.loose * rules.length)
+            yield out.batch()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, out = OpenBins(rules.length, rules.open_bins), None
+        for batch in batches:
+            out = out or _Sequences(-((TaskContext.get().partitionId() + 1) << 36), batch.schema.field("doc_id").type)
+            for piece in zip(*(batch.column(c).to_pylist() for c in _PIECE), strict=True):
+                out.close(bins.place(piece[3], piece))
+            if out.held >= _HELD:
+                yield out.batch()
+        if out:
+            out.close([one for _, one in bins.rest()])
+            yield out.batch()
+
+    packed = scratch.write(rows.mapInArrow(first, schema))
+    loose = packed.where("loose")
+    total = loose.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # Whole bins go to a group, by their number: all groups have about the same size, whatever the documents are.
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(-(-total // (rules.length * rules.group)) or 1))
+    loose = loose.withColumn("at", group).repartition("at").sortWithinPartitions("at", "sequence_id", "offset").drop("at")
+    return packed.where("not loose").unionByName(loose.mapInArrow(again, schema)).drop("loose")
 
 
 def digest(packed: DataFrame) -> DataFrame:
