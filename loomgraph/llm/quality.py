@@ -31,10 +31,11 @@ class QualityRules:
     max_repeat_percent: int = 50
     #: A repeated substring counts from so many words.
     min_repeat: int = 6
-    #: Most of the words that repeated substrings may cover.
-    max_covered: float = 0.40
-    #: Most of the words that the longest repeated substring may take (one of its copies).
-    max_longest: float = 0.30
+    #: Most of the words that repeated substrings may cover: the published limit on duplicated text.
+    max_covered: float = 0.20
+    #: Most of the words that the longest repeated substring may take (one of its copies): half of that,
+    #: as one substring found twice reaches both limits at once.
+    max_longest: float = 0.10
 
 
 class _Ids(dict):
