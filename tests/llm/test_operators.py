@@ -54,6 +54,29 @@ def test_quality_against_brute_force(least):
         assert (got["n_repeat_words"][i], got["n_covered_words"][i], got["longest_repeat"][i]) == (len(windows), *repeated_brute(w, least))
 
 
+def test_quality_verdict_against_brute_force(spark):
+    rng, rules = random.Random(51), quality.QualityRules()
+    rows = []
+    for i in range(120):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 400))]
+        for _ in range(rng.randrange(0, 4)):  # a planted repeat
+            at, n = rng.randrange(len(w)), rng.randint(4, 60)
+            place = rng.randrange(len(w))
+            w[place:place] = w[at : at + n]
+        rows.append((i, " ".join(w)))
+    verdicts = Counter()
+    for r in quality.quality_rules(documents(spark, rows)).collect():
+        w = common.words(dict(rows)[r.doc_id])
+        tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        windows = {p for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for p in range(k, k + 3)}
+        failed = len(w) < 50 or 100 * len(windows) > 50 * len(w)
+        covered, longest = repeated_brute(w, rules.min_repeat)
+        assert r.base_failed == failed
+        assert r.kept == (not failed and covered <= rules.max_covered * len(w) and longest <= rules.max_longest * len(w))
+        verdicts[r.base_failed, r.kept] += 1
+    assert verdicts[False, False] > 10 and verdicts[False, True] > 10 and verdicts[True, False] > 3
+
+
 def test_quality_rows(odd, empty):
     rows = quality.quality_rules(odd).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows if r.doc_id == 5)
@@ -126,6 +149,39 @@ def test_near_duplicates_against_brute_force(spark, rules):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_one_id_with_two_texts(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, base), (1, other), (2, other + " tail"), (3, base + " tail"), (4, "unlike " + " ".join(f"u{i}" for i in range(50))), (5, base), (5, "")]
+    got = neardup.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [
+        (1, 98, 1, True), (1, 98, 1, True), (2, 99, 1, False), (3, 99, 1, False), (4, 49, 4, True), (5, 0, 5, True), (5, 98, 1, False),
+    ]
+
+
+def test_near_duplicates_bounds():
+    rules = neardup.NearRules()
+    for percent in (80, 85, 100):
+        one = neardup.NearRules(percent=percent)
+        assert (1 - min(0.99, percent / 100) ** one.last) ** one.trees <= one.miss
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in rng.integers(1, 400, 60)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * f)], rng.integers(0, 1 << 63, 3, np.uint64)])) for s in sets for f in (0.8, 0.9, 0.97)]
+    size, counts = np.array([len(s) for s in sets]), neardup._counts(sets)
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        want = [j for j in others if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= rules.percent * (size[i] + size[j] - n)]
+        assert neardup._expand(i, others, sets, size, counts, rules.percent).tolist() == want
+
+
+def test_components_settle_or_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    scratch = common.Scratch(spark)
+    assert {r.root for r in common.components(chain, scratch).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        common.components(chain, scratch, rounds=1)
+
+
 def test_near_duplicates_odd(odd, empty):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and sum(r.kept for r in got if r.doc_id == 5) == 2
@@ -186,7 +242,7 @@ def test_urls(spark):
 
 def suffix_brute(rows, length):
     seen, out = set(), {}
-    for d, t in sorted(rows):
+    for d, t in sorted(set(rows), key=lambda r: r[0]):  # a repeated row is one document
         raw = (t or "").encode()
         cover = np.zeros(len(raw) + 1, int)
         for i in range(len(raw) - length + 1):
@@ -200,16 +256,32 @@ def suffix_brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("rules", [suffixes.SuffixRules(), suffixes.SuffixRules(group=2), suffixes.SuffixRules(length=40, kgram=10)])
+@pytest.mark.parametrize("rules", [suffixes.SuffixRules(), suffixes.SuffixRules(group=2), suffixes.SuffixRules(length=40, kgram=10), suffixes.SuffixRules(bits=3, group=2)])
 def test_suffixes_against_brute_force(spark, rules):
+    """Also with every anchor taken apart into windows, and with content hashes that collide in the first attempt."""
     rng = random.Random(3)
     base = "".join(rng.choice("ab c") for _ in range(2000))
     rows = [(i, base[rng.randint(0, 1500) :][: rng.randint(0, 600)] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 150))) + base[rng.randint(0, 1800) :][:200]) for i in range(60)]
-    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 300), (204, "a" * 99), (206, "é" * 200), (207, base), (208, base)]
+    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 300), (204, "a" * 99), (206, "é" * 200), (207, base), (208, base), (210, rows[5][1]), (210, rows[5][1]), (211, base[300:900] + "q"), (211, base[300:900] + "q")]
     got = suffixes.dedup_substrings(documents(spark, rows), rules).select("doc_id", "n_bytes", F.sha2("kept", 256)).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == suffix_brute(rows, rules.length)
 
 
+def test_suffixes_with_colliding_prefix_hashes(monkeypatch):
+    """The sort's own hashes hold next to nothing: the bytes refute its order, and settle every bucket."""
+    rng = random.Random(31)
+    base = "".join(rng.choice("ab") for _ in range(400)).encode()
+    contents = [base[i : i + 60] for i in (0, 3, 40, 90, 200)] * 3
+    group, doc, start = np.zeros(15, np.int64), np.arange(15), np.zeros(15, np.int64)
+    windows, offset = np.full(15, 21), np.full(15, 30)
+    want = suffixes.repeated_windows(contents, group, doc, start, windows, offset, 40)
+    weak = suffixes._Hasher(1)
+    weak.of = np.full(256, np.uint64(1 << 63))
+    monkeypatch.setitem(suffixes._HASHER, suffixes.SuffixRules.seed, weak)
+    got = suffixes.repeated_windows(contents, group, doc, start, windows, offset, 40)
+    assert len(want) == 210 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_suffixes_odd(odd, empty):
     assert suffixes.dedup_substrings(odd).count() == len(ODD)
     assert suffixes.dedup_substrings(empty).count() == 0
@@ -325,20 +397,65 @@ def test_packing_round_trip(spark, empty):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         assert b"".join(r.ids for r in by_doc[d]) == np.array(ids, "<u4").tobytes()
         assert len(by_doc[d]) == -(-len(ids) // 2048) and all(r.length == 2048 for r in by_doc[d][1:])
-    for seq in {r.sequence_id for r in got}:
+    _offsets(got)
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_hardly_depends_on_partitions(spark):
+    """Whole sequences from gapless offsets, and nearly as few of them from 200 partitions as the bound allows."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "x" * max(1, int(rng.lognormvariate(5.5, 1)))) for i in range(9000)], "doc_id long, text string")
+    rules = packing.PackingRules(group=256)
+    made = lambda parts: packing.pack(df.repartition(parts), rules, lambda _: lambda t: np.zeros(len(t or ""), np.uint32)).drop("ids")
+    for parts in (1, 200):
+        got = made(parts).collect()
+        least = -(-sum(r.length for r in got) // 2048)
+        assert len(got) >= 9000 and len({r.sequence_id for r in got}) <= 1.02 * least
+        _offsets(got)
+
+
+def _offsets(got):
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for rows in by_seq.values():
         at = 0
-        for r in sorted((r for r in got if r.sequence_id == seq), key=lambda r: r.offset):
+        for r in sorted(rows, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at <= 2048
-    assert packing.pack(empty).count() == 0
 
 
-def test_bins_close_the_fullest():
-    bins = packing.OpenBins(10, 2, 0)
-    assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0) and bins.place(3) == (1, 7)
-    assert bins.place(8) == (2, 0) and bins.place(9) == (3, 0)  # closes the bin with 2 left
-    assert bins.place(4) == (0, 6)
+def plain_best_fit(lengths, size, most):
+    """Bins as lists: the fullest open one that takes a piece; where a bin too many would open, the fullest closes."""
+    bins, still = [], []
+    for n in lengths:
+        fits = [b for b in still if sum(bins[b]) + n <= size]
+        if fits:
+            one = max(fits, key=lambda b: sum(bins[b]))
+        else:
+            if len(still) == most:
+                still.remove(max(still, key=lambda b: sum(bins[b])))
+            bins.append([])
+            still.append(one := len(bins) - 1)
+        bins[one].append(n)
+        if sum(bins[one]) == size:
+            still.remove(one)
+    return bins
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 50])
+def test_bins_against_plain_best_fit(most):
+    rng = random.Random(most)
+    lengths = [rng.randint(1, 64) if rng.random() < 0.8 else rng.randint(1, 9) for _ in range(1500)]
+    bins, made = packing.OpenBins(64, most), []
+    for n in lengths:
+        made += bins.place(n, n)
+        assert bins.open <= most
+    made += [b for _, b in bins.rest()]
+    # Equally full bins are interchangeable, so bins are compared by how full they are.
+    assert sorted(map(sum, made)) == sorted(map(sum, plain_best_fit(lengths, 64, most)))
+    assert sorted(n for b in made for n in b) == sorted(lengths)
 
 
 def test_pipeline_stages(spark, tmp_path, monkeypatch):
