@@ -26,12 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
-    Repeated rows of a doc_id are one document; rows without a doc_id stay."""
-    judged = near_duplicates(docs, NearRules(shingle=5, percent=80))
-    going = judged.where("not kept").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    stay = rows.where("doc_id is not null").join(going, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.unionByName(rows.where("doc_id is null"))
+    Rows of one doc_id are one document: where it stays, each of its different texts stays, once (of rows with
+    equal texts, the one with the smallest other columns). Rows without a doc_id stay."""
+    judged = Scratch(spark).write(near_duplicates(docs, NearRules(shingle=5, percent=80)))
+    per = judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    rows, others = docs.select(*COLUMNS), [c for c in COLUMNS if c not in ("doc_id", "text")]
+    single = rows.join(per.where("n > 1 or not kept").select("doc_id"), "doc_id", "left_anti")
+    again = rows.join(per.where("n > 1 and kept").select("doc_id"), "doc_id").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least"))
+    return single.unionByName(again.select("doc_id", "text", "least.*").select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
