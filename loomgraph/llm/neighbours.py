@@ -6,7 +6,9 @@ its nearest lists, as many as the sample shows to be needed, with asymmetric dis
 are ranked again by the exact distance in double precision.
 
 Equal vectors are one entry that carries its smallest ids, so a vector with a third of all rows is one
-row of the index. Lists are searched in blocks of bounded size, and queries too.
+row of the index. Lists are searched in bundles of bounded size: small lists share one, a long list fills
+several. A query travels once to every bundle that holds one of its lists, not once a list, and a bundle's
+tables and sums are made for a block of queries at a time.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ class AnnRules:
     neighbours: int = 10
     #: Bound on the vectors that the index is fitted on.
     sample: int = 20_000
-    #: Lists: the root of the entries, within this bound.
+    #: Lists: so many times the root of the entries, within this bound. The finer they are, the smaller the
+    #: part of the entries that the probed ones hold.
+    lists: float = 4
     most_lists: int = 4096
     #: A query looks into as many lists as hold this part of the sample's own nearest neighbours, measured
     #: with `trials` of its vectors, and into at least `least_probes`.
-    target: float = 0.97
+    target: float = 0.96
     trials: int = 256
     least_probes: int = 8
     #: Components of a subspace, and codewords in each.
@@ -42,8 +46,8 @@ class AnnRules:
     codewords: int = 256
     #: Entries that each query ranks again.
     depth: int = 200
-    #: Entries and queries that one task compares at a time.
-    block: int = 20_000
+    #: Entries of a bundle, and queries compared with it at a time.
+    block: int = 8_192
     query_block: int = 2_000
     rounds: int = 12
     seed: int = 2
@@ -64,7 +68,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
         own = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
-        np.add.at(total, own, x)
+        some = np.flatnonzero(n)
+        total[some] = np.add.reduceat(x[np.argsort(own, kind="stable")], (np.cumsum(n) - n)[some], axis=0)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(c))])
     return c
 
@@ -90,20 +95,33 @@ class Index:
         index.lists = [codes[own == k] for k in range(len(centroids))]
         return index
 
-    def bound(self, q: np.ndarray, near: np.ndarray, depth: int) -> float:
-        """The distance, by the tables, of the depth-th best sample entry in the probed lists. The sample is
-        part of the index, so none of the query's depth best entries lies beyond it."""
-        found = np.concatenate([self.approximate(q, int(k), self.lists[k]) for k in near])
-        return float(np.partition(found, depth - 1)[depth - 1]) if len(found) >= depth else float("inf")
-
     def approximate(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of one list's entries from a query by its table."""
-        near = np.zeros(len(codes), np.float32)
-        if len(codes):
-            for row, column in zip(self.tables(q, which), codes.T, strict=True):
-                near += row[column]
+        """Distances of one list's entries (rows) from queries (columns), the sums of their tables' cells."""
+        near = np.zeros((len(codes), len(q)), np.float32)
+        left = q - self.centroids[which]
+        for column, c, b in zip(codes.T, self.columns, self.books, strict=True):
+            part = left[:, c]
+            table = ((b * b).sum(1)[:, None] - 2 * (b @ part.T) + (part * part).sum(1)).astype(np.float32)
+            near += table[column]
         return near
 
+    def probed(self, q: np.ndarray, n: int) -> np.ndarray:
+        """Which lists (columns) each query (row) looks into."""
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(out, self.probes(q, n), True, 1)
+        return out
+
+    def bounds(self, q: np.ndarray, n: int, rank: int) -> np.ndarray:
+        """By the tables, the distance of each query's rank-th best sample entry in its probed lists."""
+        probed, found = self.probed(q, n), np.full((len(q), sum(map(len, self.lists))), np.inf, np.float32)
+        at = 0
+        for which, codes in enumerate(self.lists):
+            own = np.flatnonzero(probed[:, which])
+            if len(own) and len(codes):
+                found[own, at : at + len(codes)] = self.approximate(q[own], which, codes).T
+            at += len(codes)
+        return np.partition(found, rank - 1, axis=1)[:, rank - 1] if rank <= found.shape[1] else np.full(len(q), np.inf, np.float32)
+
     def probes_for(self, x: np.ndarray, rules: AnnRules) -> int:
         """How many lists hold the target part of the exact nearest neighbours among the sample."""
         trial = x[np.random.default_rng(rules.seed + 1).permutation(len(x))[: rules.trials]]
@@ -124,14 +142,6 @@ class Index:
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(_distances(q, self.centroids), axis=1, kind="stable")[:, :n]
 
-    def tables(self, q: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances of a query's residual in one list to every codeword, a row for each subspace."""
-        left = q - self.centroids[which]
-        out = np.full((len(self.columns), max(len(b) for b in self.books)), np.inf, np.float32)
-        for m, (c, b) in enumerate(zip(self.columns, self.books, strict=True)):
-            out[m, : len(b)] = ((left[c] - b) ** 2).sum(1)
-        return out
-
 
 def usable(vector: str) -> str:
     """SQL condition: not null, not empty, every component finite, one not zero."""
@@ -161,7 +171,7 @@ def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> D
     entries = entries.where(F.size("v") == dim)
     x = np.array([r["v"] for r in sample if len(r["v"]) == dim])
     total = entries.count()
-    lists = max(1, min(rules.most_lists, int(total**0.5)))
+    lists = max(1, min(rules.most_lists, int(rules.lists * total**0.5)))
     index = spark.sparkContext.broadcast(Index.fit(x, lists, rules))
     n_probes = index.value.probes_for(x, rules)
     asked = rows.where(is_query).where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), "v")
@@ -175,49 +185,65 @@ def search(vectors: DataFrame, is_query: str, rules: AnnRules = AnnRules()) -> D
             own, codes = index.value.encode(_matrix(batch, "v"))
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["cid", "list", "codes"])
 
+    coded = scratch.write(entries.select("cid", "v").mapInArrow(encode, "cid long, list int, codes binary"))
+    wanted = entries.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), "v")
+    # Bundles: lists in turn, until they hold a block. One row a list, so within most_lists.
+    sizes = np.zeros(len(index.value.centroids), np.int64)
+    for row in coded.groupBy("list").agg(F.count("*").alias("n")).collect():
+        sizes[row["list"]] = row["n"]
+    parts = np.maximum(1, -(-sizes // rules.block))
+    first, at, room = np.zeros(len(sizes), np.int64), -1, 0
+    for which, n in enumerate(sizes.tolist()):
+        if parts[which] > 1 or n > room or at < 0:
+            at, room = at + 1, rules.block
+        first[which], room = at, room - n
+        if parts[which] > 1:
+            at, room = at + int(parts[which]) - 1, 0
+    spread = spark.createDataFrame([(k, int(f), int(p)) for k, (f, p) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int")
+    # What the shortlist is cut at: a rank in the sample that stands for about `depth` and a half of all entries.
+    rank = min(rules.depth, max(3 * rules.neighbours, -(-3 * rules.depth * len(x) // (2 * total))))
+    asked_n = wanted.count()
+    cuts = max(1, -(-asked_n // rules.query_block))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = index.value.probes(_matrix(batch, "v"), n_probes)
-            most = [index.value.bound(v, k, rules.depth) for v, k in zip(_matrix(batch, "v"), near, strict=True)]
-            at = np.repeat(np.arange(batch.num_rows), n_probes)
-            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(np.array(most)[at]), pa.array(near.ravel(), pa.int32())], ["qid", "v", "most", "list"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                q = _matrix(part, "v")
+                near, most = index.value.probed(q, n_probes), index.value.bounds(q, n_probes, rank)
+                goes = [np.unique(np.concatenate([np.arange(first[k], first[k] + parts[k]) for k in np.flatnonzero(row)])) for row in near]
+                at = np.repeat(np.arange(len(q)), [len(g) for g in goes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(goes), pa.int32()), part.column("qid").take(pa.array(at)), part.column("v").take(pa.array(at)), pa.array(most[at], pa.float32())], ["bundle", "qid", "v", "most"])
 
-    coded = scratch.write(entries.select("cid", "v").mapInArrow(encode, "cid long, list int, codes binary"))
-    wanted = entries.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), "v")
-    probed = scratch.write(wanted.mapInArrow(probe, "qid long, v array<double>, most double, list int"))
-    # One row a list, so within most_lists.
-    parts = coded.groupBy("list").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("parts"))
-    cuts = probed.groupBy("list").agg(F.ceil(F.count("*") / rules.query_block).cast("int").alias("cuts"))
-    sized = F.broadcast(scratch.write(parts.join(cuts, "list")))
     left = (
-        coded.join(sized, "list").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-        .select("list", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "cid", "codes")
-    )
-    right = (
-        probed.join(sized, "list").withColumn("cut", F.pmod(F.xxhash64("qid"), F.col("cuts")).cast("int"))
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cut", "qid", "v", "most")
-        .select(*[F.col(c).alias(c) for c in ("list", "part", "cut", "qid", "v", "most")])
+        coded.join(F.broadcast(spread), "list").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        .select("bundle", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"), "list", "cid", "codes")
     )
+    right = wanted.mapInArrow(probe, "bundle int, qid long, v array<double>, most float").withColumn("cut", F.pmod(F.xxhash64("qid"), F.lit(cuts)).cast("int"))
     depth = rules.depth
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         if len(a) and len(b):
-            ids = a["cid"].to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)[order]
-            which = int(a["list"].iloc[0])
-            for qid, v, most in zip(b["qid"], b["v"], b["most"], strict=True):
-                near = index.value.approximate(np.asarray(v), which, codes)
-                best = np.flatnonzero(near <= most)
-                if len(best) > depth:
-                    best = best[near[best] <= np.partition(near[best], depth - 1)[depth - 1]]
-                best = best[np.argsort(near[best], kind="stable")][:depth]
-                out.append(pd.DataFrame({"qid": qid, "cid": ids[best], "near": near[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "cid": [], "near": []})
-
-    keys = ["list", "part", "cut"]
+            a = a.sort_values(["list", "cid"])
+            which, ids = a["list"].to_numpy(), a["cid"].to_numpy()
+            codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)
+            q, qid, most = np.stack(b["v"].to_list()), b["qid"].to_numpy(), b["most"].to_numpy()
+            probed = index.value.probed(q, n_probes)
+            begin = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(which)], strict=True):
+                own = np.flatnonzero(probed[:, which[i]])
+                near = index.value.approximate(q[own], int(which[i]), codes[i:j])
+                entry, query = np.nonzero(near <= most[own])
+                found.append((own[query], ids[i:j][entry], near[entry, query]))
+        row, cid, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((cid, near, row))
+        row, cid, near = row[order], cid[order], near[order]
+        start = np.searchsorted(row, row)
+        best = np.arange(len(row)) - start < depth
+        return pd.DataFrame({"qid": qid[row[best]] if len(row) else row, "cid": cid[best], "near": near[best]})
+
+    keys = ["bundle", "cut"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid long, cid long, near float")
     by_near = Window.partitionBy("qid").orderBy("near", "cid")
     short = found.withColumn("k", F.row_number().over(by_near)).where(F.col("k") <= depth).select("qid", "cid")
