@@ -83,6 +83,18 @@ def test_quality_rows(odd, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_neighbours_in_small_bundles(spark):
+    """Lists cut into parts, bundles and blocks of queries give what one block gives; extra columns and repeated rows."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (900, 8))
+    rows = [(i, v.tolist(), 0, "x", 1.0) for i, v in enumerate(x)] + [(0, x[0].tolist(), 0, "x", 1.0), (0, x[1].tolist(), 0, "x", 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, qid long, list string, most double")
+    get = lambda rules: sorted(map(tuple, neighbours.search(df, "vec_id % 20 = 0", rules).collect()))
+    one = get(neighbours.AnnRules(sample=500, lists=0.2))
+    assert one == get(neighbours.AnnRules(sample=500, lists=0.2, block=50, query_block=7))
+    assert {r[0] for r in one} == set(range(0, 900, 20)) and all(r[0] != r[2] for r in one)
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 4, (12, 16))
