@@ -15,6 +15,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,29 @@ from pyspark.sql import functions as F
 from loomgraph.llm.boost import BoostedTrees
 from loomgraph.llm.common import columns_of, slices, small_batches
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>?",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements whose content is never text of the page.
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "select", "button", "title", "head", "math", "canvas", "audio", "video"}
+#: Elements whose content is no markup: they reach to their end tag, or else to the page's end.
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+#: Elements whose content is never text of the page: nodes that are left out, closed like any other.
+_OUT = {"noscript", "template", "svg", "object", "select", "button", "head", "canvas", "audio", "video", "datalist"}
+#: Of these, the ones that end where a part of the page starts: nobody puts an article into a button.
+_SHORT = {"select", "button", "head", "datalist"}
+_ENDS_SHORT = {"article", "main", "section", "header", "footer", "nav", "aside", "body", "table", "h1", "h2"}
 _VOID = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
-    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr", "ruby", "rt", "rp", "center",
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr", "ruby", "rt", "rp",
+    "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "semantics",
 }
-_ENDS_P = {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "aside", "nav", "header", "footer", "main", "form", "blockquote", "pre", "figure", "dl", "dt", "dd", "address", "hr", "fieldset", "details"}
-_SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS_P = {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "aside", "nav", "header", "footer", "main", "form", "blockquote", "pre", "figure", "dl", "dt", "dd", "address", "hr", "fieldset", "details", "center"}
+#: What an open element of a kind ends at, within the element that holds it: slots of a scope.
+_SLOT = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_CLOSES = {"li": (1,), "dt": (2,), "dd": (2,), "tr": (3, 4), "td": (4,), "th": (4,), "tbody": (3, 4), "tfoot": (3, 4), "option": (5,)}
 _HOLDS = {"ul", "ol", "table", "dl", "div", "article", "section", "body", "main", "aside", "nav"}
+_NO_SCOPE = (-1,) * 6
 _SPACES = re.compile(r"\s+")
 _POINTS = re.compile(r"[.,;:!?]")
 
@@ -48,7 +56,7 @@ _POINTS = re.compile(r"[.,;:!?]")
 class Node:
     """A block element: its own texts and child blocks in page order."""
 
-    __slots__ = ("tag", "tokens", "parent", "items", "kids", "link", "inputs", "depth", "at", "own", "chars", "links", "points", "size", "paras", "fields")
+    __slots__ = ("tag", "tokens", "parent", "items", "kids", "link", "inputs", "depth", "out", "at", "own", "chars", "links", "points", "size", "paras", "fields")
 
     def __init__(self, tag: str, tokens: tuple[str, ...], parent: Node | None):
         self.tag, self.tokens, self.parent = tag, tokens, parent
@@ -56,6 +64,8 @@ class Node:
         self.kids: list[Node] = []
         self.link = self.inputs = 0
         self.depth = parent.depth + 1 if parent else 0
+        #: Never text of the page, with all that it holds.
+        self.out = tag in _OUT or (parent is not None and parent.out)
 
 
 def _tokens(attrs: str) -> tuple[str, ...]:
@@ -67,82 +77,141 @@ def _tokens(attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose name ends at `at` ends: after its > outside quotes or, where quotes don't pair, after
+    its first >; 0 if there is none. `dead` keeps closing quotes from which no > was found, so that no stretch
+    is gone through twice for nothing, however the quotes of a broken page are placed."""
+    path, place = [], at
+    while stop := _STOP.search(page, place):
+        if stop[0] == ">":
+            return stop.end()
+        place = page.find(stop[0], stop.end()) + 1
+        if not place or place in dead:
+            break
+        path.append(place)
+    dead.update(path)
+    return page.find(">", at) + 1
+
+
+class _Stack:
+    """The open elements. Each knows, by slot, the nearest open element of a kind in its scope, and how many of a
+    name are open, so that no start or end tag walks the stack in vain."""
+
+    def __init__(self, root: Node):
+        self.items: list[tuple[str, Node, tuple[int, ...]]] = [("html", root, _NO_SCOPE)]
+        self.open: Counter[str] = Counter()
+        self.short: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.items[-1][1]
+
+    def push(self, tag: str, node: Node) -> None:
+        scope = _NO_SCOPE if tag in _HOLDS else self.items[-1][2]
+        if tag in _SLOT:
+            scope = (*scope[: _SLOT[tag]], len(self.items), *scope[_SLOT[tag] + 1 :])
+        if tag in _SHORT:
+            self.short.append(len(self.items))
+        self.items.append((tag, node, scope))
+        self.open[tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all that it holds."""
+        for tag, _, _ in self.items[at:]:
+            self.open[tag] -= 1
+        del self.items[at:]
+        while self.short and self.short[-1] >= at:
+            self.short.pop()
+
+    def end(self, tag: str) -> bool:
+        """Closes the innermost element of that name, if one is open."""
+        if not self.open[tag]:
+            return False
+        at = len(self.items) - 1
+        while self.items[at][0] != tag:
+            at -= 1
+        self.cut(at)
+        return True
+
+    def start(self, tag: str) -> None:
+        """Closes what ends where an element of that name starts."""
+        if tag in _ENDS_SHORT and self.short:
+            self.cut(self.short[0])
+        scope = self.items[-1][2]
+        open_ = [scope[k] for k in (*((0,) if tag in _ENDS_P else ()), *_CLOSES.get(tag, ())) if scope[k] >= 0]
+        if open_:
+            self.cut(min(open_))
+
+
 def parse(page: str) -> list[Node]:
-    """The blocks of a page, the root first and then in page order."""
+    """The blocks of a page, the root first and then in page order, in time linear in the page's length."""
     root = Node("html", (), None)
-    nodes, stack, at, links = [root], [("html", root)], 0, 0
-    top = root
+    nodes, stack, at, n = [root], _Stack(root), 0, len(page)
+    last, dead, held = page.rfind(">"), set(), 0
 
     def text(part: str) -> None:
-        if part:
-            part = entities.unescape(part) if "&" in part else part
-            if part.strip():
-                top.link += len(part) if links else 0
-            top.items.append(part)
+        top = stack.top
+        part = entities.unescape(part) if "&" in part else part
+        if stack.open["a"] and part.strip():
+            top.link += len(part)
+        top.items.append(part)
 
-    n = len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
+        start = page.find("<", max(at, held))
+        if start < 0 or start > last:  # without a > behind it, nothing is a tag
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        held = start + 1
+        ends = page.startswith("</", start)
+        name = _NAME.match(page, start + 1 + ends)
+        if name:
+            stop = _tag_end(page, name.end(), dead) or n
+        elif page.startswith("<!--", start):
+            stop = (page.find("-->", start + 4) + 3) if page.find("-->", start + 4) >= 0 else n
+        elif page.startswith(("<!", "<?", "</"), start):
+            stop = page.find(">", start) + 1
+        else:
+            continue  # a < of the text
+        if start > at:
+            text(page[at:start])
+        at = held = stop
+        if not name:
             continue
-        tag, ends, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag, top = name[0].lower(), stack.top
         if ends:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+            if not stack.end(tag) and tag in ("br", "p"):
                 top.items.append(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    top = stack[-1][1]
-                    break
             continue
         if tag in _VOID:
             if tag == "br":
                 top.items.append(" ")
-            elif tag in ("input", "hr"):
-                top.inputs += tag == "input"
+            top.inputs += tag == "input"
             continue
+        attrs = page[name.end() : stop - 1]
         if tag in _RAW:
-            top.inputs += tag in ("textarea", "select", "button")
-            if attrs.endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            # Without its end, a head reaches to the body and any other such element to the page's end.
-            body = None if end or tag != "head" else re.compile(r"<body", re.I).search(page, at)
-            at = end.end() if end else body.start() if body else n
+            top.inputs += tag == "textarea"
+            if not attrs.endswith("/"):
+                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                at = held = (page.find(">", end.start()) + 1 or n) if end else n
             continue
         if tag in _INLINE:
-            stack.append((tag, top))
-            links += tag == "a"
+            if not attrs.endswith("/"):
+                stack.push(tag, top)
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]):
+        if tag == "html" or (tag == "body" and stack.open["body"]):
             continue
-        if tag == "html":
+        if tag in ("select", "button"):
+            top.inputs += 1
+        if tag in _OUT and attrs.endswith("/"):
             continue
-        close = {"p"} if tag in _ENDS_P else set()
-        close |= _SAME_ENDS.get(tag, set())
-        if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in close:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLDS:
-                    break
-        parent = stack[-1][1]
-        top = Node(tag, _tokens(attrs), parent)
-        parent.items.append(top)
-        parent.kids.append(top)
-        nodes.append(top)
-        stack.append((tag, top))
+        stack.start(tag)
+        parent = stack.top
+        node = Node(tag, _tokens(attrs), parent)
+        if not node.out:
+            parent.items.append(node)
+            parent.kids.append(node)
+            nodes.append(node)
+        stack.push(tag, node)
     return nodes
 
 
@@ -185,6 +254,10 @@ def features(nodes: list[Node], odds: dict[str, float], tag_odds: dict[str, floa
             up.fields += node.fields
     total, said, rows = max(1, before), {}, []
     place = {id(k): i for node in nodes for i, k in enumerate(node.kids)}
+    alike = {id(node): Counter(k.tag for k in node.kids) for node in nodes}
+    kin: Counter[tuple[int, str]] = Counter()  # text of a node's children, by tag
+    for node in nodes:
+        kin[id(node.parent or node), node.tag] += node.chars
     for node in nodes:
         own = sum(odds.get(t, 0.0) for t in node.tokens)
         tag = tag_odds.get(node.tag, 0.0)
@@ -202,7 +275,7 @@ def features(nodes: list[Node], odds: dict[str, float], tag_odds: dict[str, floa
             i / max(1, len(parent.kids)), node.at / total, (node.at + node.chars) / total, parent.links / max(1, parent.chars), parent.chars / total,
             math.log1p(prior.chars) if prior else -1, prior.links / max(1, prior.chars) if prior else -1,
             math.log1p(after.chars) if after else -1, after.links / max(1, after.chars) if after else -1,
-            sum(k.tag == node.tag for k in parent.kids) / max(1, len(parent.kids)),
+            alike[id(parent)][node.tag] / max(1, len(parent.kids)), kin[id(parent), node.tag] / max(1, parent.chars), prior.tag == node.tag if prior else -1,
         ))
     return np.array(rows)
 
@@ -275,7 +348,7 @@ class PageGenerator:
     def extra(self) -> str:
         """A box that isn't main text."""
         r = self.r
-        kind = r.randrange(12)
+        kind = r.randrange(14)
         if kind == 0:
             return f"<nav{self.named('nav', 'menu', 'breadcrumb')}>{self.links(2, 9)}</nav>"
         if kind == 1:
@@ -295,15 +368,58 @@ class PageGenerator:
             return f"<div{self.named('pager', 'pagination', 'nextprev')}>{self.links(2, 4)}</div>"
         if kind == 9:
             return f"<script>var a='<p>{self.say(2, 6)}</p>';</script><style>.a{{}}</style>"
+        if kind == 11:
+            return self.thread(0)
+        if kind == 12:
+            return f"<div{self.named('hatnote', 'note', 'editnote', 'metadata', 'catlinks', 'navbox')}>{self.say(3, 14)} <a href='/z'>{self.say(1, 3, stop=False)}</a></div>"
         if kind == 10:
             return f"<div{self.named('toolbar', 'topbar', 'skip', 'menu')}>{self.links(1, 6)}</div>"
         return f"<div{self.named('related', 'more', 'recommended', 'popular')}><h4>{self.say(1, 4, stop=False)}</h4>{self.links(2, 8)}</div>"
 
+    def thread(self, deep: int) -> str:
+        """Comments and the answers in them."""
+        r = self.r
+        outer, inner = r.choice((("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article")))
+        name = r.choice(("comments", "commentlist", "comment-thread", "replies", "discussion", "responses"))
+        out = []
+        for _ in range(r.randint(1, 4)):
+            says = "".join(f"<p>{self.say(3, 50)}</p>" for _ in range(r.randint(1, 3)))
+            by = f"<{(t := r.choice(('div', 'h4', 'p')))}{self.named('comment-author', 'author', 'meta', 'user')}>{self.say(1, 3, stop=False)}</{t}>"
+            box = r.choice((f"{by}{says}", f"<div{self.named('comment-body', 'comment-content', 'message', 'reply')}>{by}{says}</div>"))
+            below = self.thread(deep + 1) if deep < 3 and r.random() < 0.35 else ""
+            out.append(f"<{inner} class=\"{r.choice(('comment', 'comment depth-1', 'reply', 'comment byuser', 'post-comment'))}\">{box}{below}</{inner}>")
+        title = f"<h3>{self.say(1, 4, stop=False)}</h3>" if not deep and r.random() < 0.7 else ""
+        kind = name if not deep else r.choice(("children", "replies", "answers", name))
+        return f"{title if outer in ('ol', 'ul') else ''}<{outer} {r.choice(('class', 'id'))}=\"{kind}\">{title if outer not in ('ol', 'ul') else ''}{''.join(out)}</{outer}>"
+
+    def old_page(self, core: str) -> str:
+        """A page laid out by tables, fonts and centred blocks, hardly anything being named."""
+        r = self.r
+        bar = lambda: r.choice((" | ", " - ", " &nbsp; ", "<br>", " ")).join(f"<a href={i}.htm>{self.say(1, 2, stop=False)}</a>" for i in range(r.randint(3, 8)))
+        cell = lambda: r.choice(("", " valign=top", ' width="150"', " bgcolor=#eeeeee", self.named("left", "menu", "nav", "sidebar")))
+        font = lambda x: f"<font size=2>{x}</font>" if r.random() < 0.4 else x
+        head = r.choice((f"<center>{bar()}</center>", f"<table width=100%><tr><td>{self.say(1, 4, stop=False)}<td align=right>{bar()}</table>", f"<tr><td colspan=2{cell()}>{bar()}</td></tr>", f"<p align=center>{bar()}</p><hr>", ""))
+        row = head if head.startswith("<tr") else ""
+        menu = f"<td{cell()}>{font(r.choice((self.links(3, 8), bar(), f'<b>{self.say(1, 2, stop=False)}</b><br>{bar()}')))}</td>"
+        side = f"<td{cell()}>{font(self.links(2, 6))}<p>{self.say(3, 15)}</p></td>" if r.random() < 0.3 else ""
+        main = f"<td{r.choice(('', ' valign=top', ' width=600'))}>{core}</td>"
+        end = r.choice((f"&copy; {self.say(1, 5, stop=False)}", f"{self.say(2, 8)} {bar()}", bar(), f"{self.say(1, 3, stop=False)} {r.randint(1995, 2024)}"))
+        foot = r.choice((f"<center>{font(end)}</center>", f"<hr><address>{end}</address>", f"<p align=center>{font(end)}</p>", f"<table width=100%><tr><td align=center>{end}</table>"))
+        if r.random() < 0.7:
+            inner = r.choice((menu + main + side, main + menu, menu + main))
+            table = f"<table{r.choice(('', ' width=100%', ' cellpadding=4 border=0'))}>{row}<tr>{inner}</tr></table>"
+            return f"<html><head><title>{self.say(2, 6)}</title><body>{'' if row else head}{table}{foot}"
+        return f"<html><body bgcolor=white>{'' if row else head}{core}{foot}</body></html>"
+
     def body_text(self) -> str:
         r, out = self.r, []
         for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))):
-            kind = r.randrange(14)
-            if kind == 0:
+            kind = r.randrange(16)
+            if kind == 14:
+                out.append(f"<dl><dt>{self.say(1, 5, True, False)}</dt><dd>{self.say(4, 30, True)}</dd></dl>")
+            elif kind == 15:
+                out.append(f"<figure><img src=a.jpg><figcaption>{self.say(3, 15, True)}</figcaption></figure>")
+            elif kind == 0:
                 out.append(f"<h{(h := r.choice('23'))}>{self.say(1, 7, True, False)}</h{h}>")
             elif kind == 1:
                 out.append(f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{self.say(2, 20, True)}</li>" for _ in range(r.randint(2, 6))) + f"</{t}>")
@@ -322,7 +438,9 @@ class PageGenerator:
             elif kind == 8:
                 out.append(f"<div{self.named('para', 'text', 'section')}>{self.say(5, 60, True)}</div>")
             else:
-                out.append(f"<p>{self.say(1, 6, True) if r.random() < 0.15 else self.say(6, 110, True)}</p>")
+                # Most paragraphs are of some lines; some are a few words, also behind a very long one.
+                size = r.random()
+                out.append(f"<p>{self.say(1, 9, True) if size < 0.2 else self.say(6, 110, True) if size < 0.92 else self.say(200, 1800, True)}</p>")
         return "".join(out)
 
     def page(self) -> str:
@@ -331,6 +449,8 @@ class PageGenerator:
         inner = self.body_text()
         if self.MARK not in title + inner:
             inner += f"<p>{self.say(10, 60, True)}</p>"
+        if r.random() < 0.15:
+            return self.old_page(title + inner)
         tag = r.choice(("article", "article", "main", "div", "div", "section"))
         name = self.named("content", "article", "post", "entry", "main", "story", "text", "body") if tag == "div" or r.random() < 0.4 else ""
         if r.random() < 0.3:
@@ -351,7 +471,7 @@ class PageGenerator:
 class Extractor:
     """Boosted trees with the odds of tokens and tags, fitted on generated pages."""
 
-    def __init__(self, pages: int = 1500, seed: int = 5):
+    def __init__(self, pages: int = 2000, seed: int = 5):
         made = PageGenerator(seed)
         parsed = [parse(made.page()) for _ in range(pages)]
         labels, counts = [], {}
@@ -395,7 +515,7 @@ class Extractor:
         return out
 
 
-def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), pages_fitted: int = 1500) -> DataFrame:
+def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), pages_fitted: int = 2000) -> DataFrame:
     """The columns in `keep`, and text and n_chars, per page.
 
     Null and empty pages, and pages without main text, have an empty text. Pages are read whole, one by
