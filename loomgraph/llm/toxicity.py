@@ -8,8 +8,8 @@ token than `piece` bytes (a script without spaces, words joined by _ or commas)
 between joining characters, those still longer being cut into pieces that overlap by half.
 
 Training is multiple-instance: a document's label belongs to its worst window under the current weights.
-It takes a bounded sample of labelled rows (`positives`, `negatives`), chosen by hash from those whose
-crc32(doc_id) mod 4 is not 2, weighted back to the labels' true proportion.
+It takes a bounded sample of labelled rows (`positives`, `negatives`, and texts of at most `longest` bytes),
+chosen by hash from those whose crc32(doc_id) mod 4 is not 2, weighted back to the labels' true proportion.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ class ToxicRules:
 
     positives: int = 1500
     negatives: int = 2500
+    #: Bytes of a text that is still trained on; with the numbers of rows it bounds what the driver gathers.
+    #: Longer ones are scored like all others.
+    longest: int = 1 << 16
     #: Bytes of a token, without its edges, from which on it is cut into several words.
     piece: int = 40
     window: int = 32
@@ -52,6 +55,8 @@ class ToxicRules:
     most_rounds: int = 40
     warm: int = 3
     rate: float = 0.012
+    #: Whether a component of the embeddings starts as the log odds of its word or n-gram.
+    odds_start: bool = True
     threshold: float = 0.3
     seed: int = 9
 
@@ -148,8 +153,9 @@ class Network:
         own = np.array([self.vocabulary.get(x.strip(_EDGES), 0) for x in words])
         return np.concatenate([self.w["word"][own], chars], 1).astype(np.float32)
 
-    def _layer(self, way: str, steps: np.ndarray, keep: list | None) -> np.ndarray:
-        """States of one layer over (time, windows, 3 * state) input projections, in time order of `steps`."""
+    def _layer(self, way: str, steps: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
+        """States of one layer over (time, windows, 3 * state) input projections, in time order of `steps`; they
+        are zero where there is no word, so what fills a window up can't reach its words."""
         h, w = self.rules.state, self.w
         state = np.zeros((steps.shape[1], h), np.float32)
         out = np.empty((*steps.shape[:2], h), np.float32)
@@ -159,7 +165,7 @@ class Network:
             new = np.tanh(steps[t, :, 2 * h :] + gate[:, h:] * inner)
             if keep is not None:
                 keep.append((state, gate, inner, new))
-            state = gate[:, :h] * state + (1 - gate[:, :h]) * new
+            state = (gate[:, :h] * state + (1 - gate[:, :h]) * new) * mask[t, :, None]
             out[t] = state
         return out
 
@@ -171,14 +177,14 @@ class Network:
         """Logits of windows. projected: (time, windows, 6 * state); mask: (time, windows), 1 for a word."""
         h = 3 * self.rules.state
         kf, kb = ([], []) if keep is not None else (None, None)
-        states = np.concatenate([self._layer("f", projected[:, :, :h], kf), self._layer("b", projected[::-1, :, h:], kb)[::-1]], 2)
+        states = np.concatenate([self._layer("f", projected[:, :, :h], mask, kf), self._layer("b", projected[::-1, :, h:], mask[::-1], kb)[::-1]], 2)
         hidden = np.tanh(states @ self.w["a"])
         score = np.where(mask > 0, hidden @ self.w["v"], -1e9)
         part = np.exp(score - score.max(0))
         part /= part.sum(0)
         pooled = np.einsum("tn,tnh->nh", part, states)
         if keep is not None:
-            keep |= {"f": kf, "b": kb, "states": states, "hidden": hidden, "part": part, "pooled": pooled}
+            keep |= {"f": kf, "b": kb, "states": states, "hidden": hidden, "part": part, "pooled": pooled, "mask": mask}
         return pooled @ self.w["o"] + self.w["b"][0]
 
     def backward(self, x: np.ndarray, keep: dict, out: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -196,13 +202,13 @@ class Network:
         d_states = d_states + d_hidden @ w["a"].T
         d_x = np.zeros_like(x)
         for way, sides in (("f", d_states[:, :, :h]), ("b", d_states[::-1, :, h:])):
-            xs = x if way == "f" else x[::-1]
+            xs, mask = (x, keep["mask"]) if way == "f" else (x[::-1], keep["mask"][::-1])
             gx, gc, gu, gn = (np.zeros_like(w[f"{k}{way}"]) for k in "xcun")
             carry = np.zeros_like(sides[0])
             for t in range(len(xs) - 1, -1, -1):
                 state, gate, inner, new = keep[way][t]
                 z, r = gate[:, :h], gate[:, h:]
-                carry = carry + sides[t]
+                carry = (carry + sides[t]) * mask[t, :, None]
                 d_new = carry * (1 - z) * (1 - new**2)
                 d_gate = np.concatenate([carry * (state - new), d_new * inner], 1) * gate * (1 - gate)
                 d_in = np.concatenate([d_gate, d_new], 1)
@@ -250,10 +256,11 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], rules:
         sure = np.minimum(1, (with_ + without - 1) / 8)
         return np.clip(sure * (np.log(with_ / (y.sum() + 1)) - np.log(without / (len(y) - y.sum() + 1))), -3, 3)
 
-    network.w["word"][:, 0] = odds([vocab[i] for i in ids], len(network.w["word"]))
-    network.w["word"][0] = 0
-    bag_of = [np.concatenate([flat[begin[u] : begin[u] + count[u]] for u in np.unique(i)]) if len(i) else i for i in ids]
-    network.w["char"][:, 0] = odds(bag_of, rules.buckets)
+    if rules.odds_start:
+        network.w["word"][:, 0] = odds([vocab[i] for i in ids], len(network.w["word"]))
+        network.w["word"][0] = 0
+        bag_of = [np.concatenate([flat[begin[u] : begin[u] + count[u]] for u in np.unique(i)]) if len(i) else i for i in ids]
+        network.w["char"][:, 0] = odds(bag_of, rules.buckets)
     moments: dict[str, list] = {}
     step = 0
 
@@ -378,16 +385,23 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules()) -> Network:
-    """Fits the network on a bounded sample of the labelled rows that are not held out."""
+    """Fits the network on a bounded sample of the labelled rows that are not held out.
+
+    Rows without a doc_id or with another label than 0 and 1 take no part. Of different labels of one doc_id,
+    toxic counts; of different texts of one, the smallest does. Without any usable row the network is as it starts.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held)
+    known = columns_of(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for value, most in ((1, rules.positives), (0, rules.negatives)):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # Within positives + negatives rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").collect()
+    # Within positives + negatives rows of at most `longest` bytes.
+    texts = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= rules.longest)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     got = Counter(r["toxic"] for r in rows)
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [total[r["toxic"]] / got[r["toxic"]] for r in rows], rules)
