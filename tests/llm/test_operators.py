@@ -201,15 +201,55 @@ def test_near_duplicates_odd(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_licenses(spark, odd):
+def licenses_brute(rows, containment):
+    """Every window of every template's size, without bands."""
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    out = {}
+    for d, text in rows:
+        words = licenses.tokens(text or "")
+        for name, template in licenses.TEMPLATES:
+            t = licenses.tokens(template)
+            step, own = licenses.window_words(len(t)), grams(t)
+            for at in range(0, max(1, len(words)), step):
+                share = len(own & grams(words[at : at + 2 * step])) / len(own)
+                if words and share >= containment:
+                    best, first, n = out.get((d, name), (0.0, at, 0))
+                    out[d, name] = (max(best, share), first, n + 1)
+    return out
+
+
+def test_licenses_against_brute_force(spark, odd, empty):
+    """Whole notices and edited ones on both sides of the containment, and what only looks alike."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcde") for _ in range(4))
-    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 60))] + [licenses.TEMPLATES[i % 9][1]] + [word() for _ in range(rng.randint(0, 60))])) for i in range(45)]
-    rows += [(100, "Licensed under nothing at all, free of charge"), (101, None)]
-    got = {(r.doc_id, r.license) for r in licenses.license_scan(documents(spark, rows)).where("containment = 1").collect()}
-    want = {(d, n) for d, t in rows if t for n, x in licenses.TEMPLATES if x in t}
-    assert got == want
-    assert licenses.license_scan(odd).count() == 0
+    rows = []
+    for i in range(110):
+        notice = licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1].split()
+        for _ in range(rng.randrange(0, 1 + len(notice) // 12) if i >= 22 else 0):
+            notice[rng.randrange(len(notice))] = word()
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 90))] + notice + [word() for _ in range(rng.randint(0, 90))])))
+    rows += [(200, "Licensed under nothing at all, free of charge"), (201, None), (202, ""), (203, "MIT"), (204, rows[0][1].upper())]
+    rows += [(205, (word() + " ") * 30_000 + rows[11][1])]
+    got = {(r.doc_id, r.license): (r.containment, r.first_word, r.windows) for r in licenses.license_scan(documents(spark, rows)).collect()}
+    want = licenses_brute(rows, 0.8)
+    assert got.keys() == want.keys() and {n for _, n in got} == {n for n, _ in licenses.TEMPLATES}
+    for key, (share, first, n) in want.items():
+        assert got[key][0] == pytest.approx(share) and got[key][1:] == (first, n)
+    some = [r.containment for r in licenses.license_scan(documents(spark, rows), containment=0.5).collect()]
+    assert sum(c < 0.8 for c in some) > 10
+    assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
+    one = documents(spark, [(7, rows[3][1])])
+    twice = licenses.license_scan(documents(spark, [(7, rows[3][1])] * 2)).collect()
+    assert [(r.doc_id, r.license) for r in twice] == [(r.doc_id, r.license) for r in licenses.license_scan(one).collect()]
+
+
+def test_license_bands_keep_the_miss():
+    for _, text in licenses.TEMPLATES:
+        n = len(licenses.tokens(text))
+        step = licenses.window_words(n)
+        bands = licenses.bands_needed(n, step, 0.8, 1e-6)
+        shingles = max(1, n - 2)
+        assert step >= n and (1 - 0.8 * shingles / (2 * step + shingles)) ** bands <= 1e-6
 
 
 def test_html_held_out():
@@ -230,6 +270,86 @@ def test_html_held_out():
     assert extract([None, "", "<", "<p", "<!--", "plain &amp; text"])[:2] == ["", ""]
 
 
+def everything(page):
+    nodes = html.parse(page)
+    return html.main_text(nodes, [True] * len(nodes))
+
+
+#: Written by hand, in layouts that the generator has no copy of.
+PAGES = {
+    "columns": (
+        "<html><head><title>x</title></head><body><table><tr><td width=120><a href=/>Home</a><br><a href=/a>About</a><br><a href=/c>Contact</a></td><td><h1>The old mill</h1>"
+        "<p>The mill was built in 1820 by two brothers, who came from the north. It stood by the river for ninety years.</p><p>Later, in the great flood, the wheel was lost; "
+        "only the walls remain today.</p></td></tr></table><center>Copyright 1999</center></body></html>",
+        "The old mill\nThe mill was built in 1820 by two brothers, who came from the north. It stood by the river for ninety years.\nLater, in the great flood, the wheel was lost; only the walls remain today.",
+    ),
+    "wiki": (
+        '<html><body><div id="content"><h1>Lynx</h1><div class="hatnote">For other uses, see <a href=x>Lynx (disambiguation)</a>.</div><p>A <b>lynx</b> is any of the four living species '
+        "within the genus of <a href=y>medium-sized wild cats</a>, found in forests.</p><h2>Appearance</h2><p>Lynxes have a short tail, characteristic tufts of black hair on the tips of the "
+        'ears, and large paws.</p></div><div id="navigation"><ul><li><a href=1>Main page</a></li><li><a href=2>Contents</a></li></ul></div><div id="footer"><p>This page was last edited on 3 May.</p></div></body></html>',
+        "Lynx\nA lynx is any of the four living species within the genus of medium-sized wild cats, found in forests.\nAppearance\nLynxes have a short tail, characteristic tufts of black hair on the tips of the ears, and large paws.",
+    ),
+    "answers": (
+        "<body><header><a href=/>My blog</a><nav><a href=/1>Posts</a><a href=/2>Tags</a></nav></header><main><article><h1>On bread</h1><p>I have baked bread every week for a year now, and this is "
+        "what I learned from it.</p><p>Use less yeast, and wait longer.</p></article><section id=comments><h2>2 comments</h2><div class=comment><p>Anna</p><p>Thank you for this, I tried it and it "
+        "worked well.</p><div class=children><div class=comment><p>Bob: same here, works in my small oven too.</p></div></div></div></section></main><footer>Powered by something</footer></body>",
+        "On bread\nI have baked bread every week for a year now, and this is what I learned from it.\nUse less yeast, and wait longer.",
+    ),
+    "formula": (
+        "<body><article><h1>Squares</h1><p>The area is <math><mi>a</mi><mo>=</mo><mn>4</mn></math> in this long example of a sentence with some math in it.</p></article></body>",
+        "Squares\nThe area is a=4 in this long example of a sentence with some math in it.",
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def extractor():
+    return html.Extractor()
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html_by_hand(extractor, name):
+    assert extractor([PAGES[name][0]]) == [PAGES[name][1]]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "noscript", "object", "template", "video"])
+def test_html_unclosed_elements_cost_no_article(tag):
+    page = f"<body><div><{tag}>menu</div><article><p>text of it</p></article></body>"
+    assert everything(page) == "text of it"
+    assert everything(f"<body><article><p>some <{tag}>menu</{tag}>text</p></article></body>") == "some text"
+
+
+def test_html_scopes():
+    texts = lambda page: everything(page).split("\n")
+    assert texts("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+    rows = [n for n in html.parse("<table><tr><td>a<td>b<tr><td>c</table>") if n.tag == "tr"]
+    assert len(rows) == 2 and rows[0].depth == rows[1].depth
+    assert texts("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert texts("<p>a<p>b<div>c</div>x < y &lt; z<p>1 <2") == ["a", "b", "c", "x < y < z", "1 <2"]
+    assert texts("<p title='a > b'>c</p><p title=\"d>e</p>") == ["c", "e"]
+    assert texts("a<script>b</script >c<style>d</style\n>e<textarea>f</textarea>g<title>h") == ["aceg"]
+
+
+@pytest.mark.parametrize("part", ["<a '", '<b "', "<a \"'>", "<", "</a ", "<!-- ", "<script>", "<div>", "<p>x</p>", "<ul><li><b>x", "&", "<a x='", "<p><form><b></i>", '<a "> '])
+def test_html_is_linear(extractor, part):
+    """A megabyte of what a parser may go through again and again."""
+    import time
+
+    start = time.time()
+    extractor([part * (1_000_000 // len(part))])
+    assert time.time() - start < 60
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", PAGES["wiki"][0]), (3, "u", PAGES["wiki"][0]), (None, "u", "<p>"), (4, "v", "<article><p>" + "long text of it, " * 40_000 + "</p></article>")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int").repartition(2)
+    got = html.extract_text(pages, pages_fitted=400).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got)[:3] == [(0, "u", 0), (1, "u", 0), (2, "", 0)]
+    assert len({r.text for r in got if r.page_id == 3}) == 1 and len(got) == len(rows)
+    assert [r.n_chars for r in got if r.page_id == 4] == [17 * 40_000 - 1]
+    assert html.extract_text(pages.limit(0), pages_fitted=50).count() == 0
+
+
 def test_html_decoding_is_consistent():
     nodes = html.parse("<body><div><p>a</p><div><p>b</p></div></div></body>")
     html.features(nodes, {}, {})
@@ -249,6 +369,9 @@ def test_urls(spark):
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[2][2:] == ("net/", "block") and got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
     assert got[5] == got[6] == ("", "", None, "allow")
+    empty = urls.judge(pages.limit(0), urls.rule_table(spark))
+    assert empty.count() == 0 and empty.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert {r.verdict for r in urls.judge(pages, urls.rule_table(spark).limit(0)).collect()} == {"allow"}
     assert got[7][2] is None and got[8][2] == "net/" and got[9][2] is None and got[10][:2] == ("b:", "//c.net/") and got[11][2] is None
 
 
@@ -349,6 +472,57 @@ def test_toxicity_held_out():
     assert score([one])[0] == pytest.approx(max(score.windows(one)), abs=1e-6)
 
 
+def test_toxicity_tables(spark, odd, empty):
+    """Odd rows of both tables; the sample doesn't depend on the order of rows, and is bounded."""
+    rules = toxicity.ToxicRules(rounds=1, least_steps=1, warm=1, most_rounds=1)
+    texts = [(i, f"calm word {i} " * 5 if i % 3 else f"zogfool {i} " * 5) for i in range(1, 60)]
+    docs = documents(spark, [*texts, (1, "another text"), (2, None), (100, "x " * 200_000), (None, "no id")])
+    marks = [(i, int(i % 3 == 0)) for i in range(1, 60)] + [(1, 1), (3, 0), (3, None), (None, 1), (4, 7), (100, 1), (900, 1)]
+    labels = spark.createDataFrame([(d, 0, t, "x") for d, t in marks], "doc_id long, quality int, toxic int, text string")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda *a: seen.append(a) or fit(*a)
+        for one, two in ((docs, labels), (docs.orderBy(F.desc("doc_id")), labels.orderBy("toxic"))):
+            network = toxicity.train(one, two, rules)
+        assert seen[0][:3] == seen[1][:3]
+        toxicity.train(docs, labels, toxicity.ToxicRules(positives=5, negatives=7, rounds=1, least_steps=1, most_rounds=1))
+        assert len(seen[2][0]) <= 12 and not any(len(t or "") > toxicity.ToxicRules.longest for t in seen[0][0])
+        for nothing in (labels.limit(0), labels.where("doc_id is null")):
+            assert toxicity.score(docs, toxicity.train(docs, nothing, rules)).count() == docs.count()
+    finally:
+        toxicity.fit = fit
+    got = toxicity.score(odd, network).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    alike = [r.score for r in got if r.doc_id == 5]
+    assert alike[0] == pytest.approx(alike[1], abs=1e-6)
+    # A text's score doesn't depend on the texts beside it, whatever the last window lacks.
+    texts, alone = [t for _, t in ODD], toxicity.Scorer(network)
+    for together in (toxicity.Scorer(network)(texts), toxicity.Scorer(network)(texts[::-1])[::-1]):
+        assert together == pytest.approx([alone([t])[0] for t in texts], abs=1e-6)
+    assert toxicity.score(empty, network).count() == 0
+
+
+def test_toxicity_network_learns_beyond_its_start():
+    """With no log odds to start from, training alone tells the two apart; the start alone is not the classifier."""
+    rng = random.Random(29)
+    calm = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    # Toxic is a pair of words next to each other; each alone is as frequent in calm texts.
+    def make(bad):
+        w = [rng.choice(calm) for _ in range(40)]
+        at = rng.sample(range(0, 38, 4), 3)
+        for k in at:
+            w[k], w[k + (1 if bad else 3)] = "grum", "wit"
+        return " ".join(w)
+    texts, y = zip(*[(make(k % 2 == 0), int(k % 2 == 0)) for k in range(900)], strict=True)
+    right = {}
+    for start in (True, False):
+        rules = toxicity.ToxicRules(rounds=30, least_steps=200, odds_start=start)
+        score = toxicity.Scorer(toxicity.fit(list(texts[:700]), list(y[:700]), [1.0] * 700, rules))
+        right[start] = ((np.array(score(list(texts[700:]))) >= 0.5) == np.array(y[700:])).mean()
+    assert min(right.values()) > 0.8, right
+
+
 def test_toxicity_reads_long_tokens_whole():
     rng = random.Random(19)
     calm = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
