@@ -13,8 +13,9 @@ What is left is settled by anchor:
   windows, each by its own hash; of those hashes that several windows have, all but the first are repeated.
 
 Every claim of the hashes is verified by bytes. Neighbours in the sorted order are compared byte by byte,
-and a group whose order the bytes refute is settled by them instead. Runs and windows with equal hashes
-are grouped by their bytes; should one hash stand for two byte strings, all is done again with other hashes.
+and a group whose order the bytes refute is settled by them instead. Runs and windows repeated by hash are
+joined into the longest stretches of one document that stand in one earlier document; the stretches' bytes
+are grouped with those of the earlier place. Should they differ, all is done again with other hashes.
 
 Counts, first runs and the verification are partial aggregates before any shuffle, so a passage in a third
 of all documents is one row a task, and no group that one task sorts exceeds `group` contents.
@@ -23,7 +24,7 @@ of all documents is one row a task, and no group that one task sorts exceeds `gr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -264,47 +265,109 @@ def refuted(raw: np.ndarray, at: np.ndarray, bucket: np.ndarray, same: np.ndarra
     for k in range(1, len(at), 100_000):
         here = np.arange(k, min(len(at), k + 100_000))
         here = here[bucket[here] == bucket[here - 1]]
-        a, b = at[here - 1], at[here]
-        equal, less = np.ones(len(here), bool), np.zeros(len(here), bool)
-        for step in steps:
-            x, y = words[a + step], words[b + step]
-            less |= equal & (x < y)
-            equal &= x == y
-        wrong.append(bucket[here[np.where(same[here], ~equal, equal | ~less)]])
+        for step in steps:  # those whose bytes are equal so far
+            x, y = words[at[here - 1] + step], words[at[here] + step]
+            differ = x != y
+            wrong.append(bucket[here[differ & ((x > y) | same[here])]])
+            here = here[~differ]
+        wrong.append(bucket[here[~same[here]]])
     return np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.int64)
 
 
-def _extract(lists: DataFrame, rules: SuffixRules, apart: bool = False) -> DataFrame:
-    """Contents of listed runs (doc_id, text, runs): key (the anchor), hash, content, doc_id, start, windows,
-    offset, sort. `apart`: a row per window instead, with its own hash as the key and no content."""
-    length, shift = rules.length, 64 - rules.bits
+def _joined(repeats: DataFrame, rules: SuffixRules) -> DataFrame:
+    """Stretches (doc_id, start, end, of_doc, of_start) of windows that follow each other in a document as they do
+    in the earlier document that they repeat, from runs (doc_id, start, windows, of_doc, of_start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for r in runs:
-                    whole = raw[r["start"] : r["start"] + r["windows"] - 1 + length]
-                    if len(whole) != r["windows"] - 1 + length:
-                        continue  # another text under the same doc_id
-                    if not apart:
-                        out.append((r["anchor"], r["hash"], whole, doc, r["start"], r["windows"], r["offset"], r["sort"]))
-                        continue
-                    for i in range(r["windows"]):
-                        digest = hashlib.blake2b(whole[i : i + length], digest_size=8, salt=rules.seed.to_bytes(8, "little")).digest()
-                        out.append((int.from_bytes(digest, "little", signed=True) >> shift, 0, None, doc, r["start"] + i, 1, 0, False))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "hash", "content", "doc_id", "start", "windows", "offset", "sort"])
+            flat = batch.column("runs").flatten()
+            sizes = np.diff(batch.column("runs").offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            start, windows, of_doc, of_start = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "windows", "of_doc", "of_start"))
+            order = np.lexsort((start, of_start - start, of_doc, row))
+            row, start, end, of_doc, of_start = row[order], start[order], (start + windows)[order], of_doc[order], of_start[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (of_doc[1:] != of_doc[:-1]) | ((of_start - start)[1:] != (of_start - start)[:-1]) | (start[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            last = np.maximum.reduceat(end, first) if len(first) else end
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row[first])), *(pa.array(c) for c in (start[first], last - 1 + rules.length, of_doc[first], of_start[first]))],
+                ["doc_id", "start", "end", "of_doc", "of_start"],
+            )
+
+    lists = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "of_doc", "of_start")).alias("runs"))
+    return lists.mapInArrow(run, "doc_id long, start long, end long, of_doc long, of_start long")
+
+
+#: Bytes of a stretch that are compared as one: its earlier place is cut at multiples of so many.
+_CUT = 4096
+
+
+def _to_verify(stretches: DataFrame) -> DataFrame:
+    """Both sides of every stretch, in cuts: doc_id, start, size, and as key and hash the earlier place."""
+    size = F.col("end") - F.col("start")
+    cuts = stretches.withColumn("size", size)
+    cuts = cuts.withColumn("cut", F.explode(F.sequence(F.expr(f"of_start div {_CUT}"), F.expr(f"(of_start + size - 1) div {_CUT}"))))
+    low = F.greatest(F.col("of_start"), F.col("cut") * _CUT)
+    cuts = cuts.withColumn("low", low).withColumn("size", F.least(F.col("of_start") + F.col("size"), (F.col("cut") + 1) * _CUT) - low)
+    here = cuts.select("doc_id", (F.col("start") + F.col("low") - F.col("of_start")).alias("start"), "size", F.col("of_doc").alias("key"), F.col("low").alias("hash"))
+    there = here.select(F.col("key").alias("doc_id"), F.col("hash").alias("start"), "size", "key", "hash").distinct()
+    return here.unionByName(there)
+
+
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], held: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some megabytes."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += held(row)
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict]]:
+    """Every listed part (with start and size) of the texts, and its bytes."""
+    for batch in batches:
+        for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            for part in parts:
+                whole = raw[part["start"] : part["start"] + part["size"]]
+                if len(whole) == part["size"]:  # or else it is another text under the same doc_id
+                    yield doc, whole, part
+
+
+def _extract(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, hash, content, doc_id, start, windows, offset, sort of parts (doc_id, start, size and these) of the texts."""
+    names = ("start", "size", "key", "hash", "windows", "offset", "sort")
+    kinds = {"key": pa.int64(), "hash": pa.int64(), "content": pa.binary(), "doc_id": pa.int64(), "start": pa.int64(), "windows": pa.int32(), "offset": pa.int32(), "sort": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((p["key"], p["hash"], whole, doc, p["start"], p["windows"], p["offset"], p["sort"]) for doc, whole, p in _listed(batches))
+        yield from _batches(made, kinds, lambda row: 100 + len(row[2]))
 
+    lists = rows.join(parts.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("parts")), "doc_id")
     return lists.mapInArrow(run, "key long, hash long, content binary, doc_id long, start long, windows int, offset int, sort boolean")
 
 
-def _by_document(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, text and the runs (anchor, hash, start, windows, offset, sort) of every document that has some."""
-    run = F.struct("anchor", "hash", "start", "windows", "offset", "sort").alias("run")
-    return rows.join(runs.select("doc_id", run).groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "doc_id")
+def _apart(rows: DataFrame, runs: DataFrame, rules: SuffixRules) -> DataFrame:
+    """Every window of these runs (doc_id, start, size) as a run of its own, its anchor being its hash."""
+    length, shift, salt = rules.length, 64 - rules.bits, rules.seed.to_bytes(8, "little")
+    kinds = {"anchor": pa.int64(), "doc_id": pa.int64(), "start": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (
+            (int.from_bytes(hashlib.blake2b(whole[i : i + length], digest_size=8, salt=salt).digest(), "little", signed=True) >> shift, doc, p["start"] + i)
+            for doc, whole, p in _listed(batches)
+            for i in range(len(whole) - length + 1)
+        )
+        yield from _batches(made, kinds, lambda row: 24)
+
+    lists = rows.join(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("parts")), "doc_id")
+    out = lists.mapInArrow(run, "anchor long, doc_id long, start long")
+    return out.select("anchor", F.lit(0).cast("long").alias("hash"), "doc_id", "start", F.lit(1).alias("windows"), F.lit(0).alias("offset"))
 
 
 def _sorted_out(rows: DataFrame, rules: SuffixRules) -> DataFrame:
@@ -358,14 +421,11 @@ def _kinds(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*_KIND).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
 
 
-def _firsts(kinds: DataFrame) -> DataFrame:
-    return kinds.select(*_KIND, "first.doc_id", "first.start")
-
-
 def _not_first(runs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The runs of kinds that several runs have, but for each kind's first."""
+    """The runs of kinds that several runs have, but for each kind's first, and where that one is."""
     later = F.struct("doc_id", "start") != F.col("first")
-    return runs.join(kinds.where("n > 1").select(*_KIND, "first"), _KIND).where(later).select(*_KIND, "doc_id", "start")
+    found = runs.join(kinds.where("n > 1").select(*_KIND, "first"), _KIND).where(later)
+    return found.select("doc_id", "start", "windows", F.col("first.doc_id").alias("of_doc"), F.col("first.start").alias("of_start"))
 
 
 def _attempt(rows: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame | None:
@@ -377,33 +437,34 @@ def _attempt(rows: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame
     scratch.collect_shuffles()
     kinds = scratch.write(_kinds(runs))
     scratch.collect_shuffles()
-    repeats = scratch.write(_not_first(runs, kinds))
-    scratch.free(runs)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = scratch.write(_firsts(kinds).join(several, "anchor"))
-    found, equal = [repeats], [repeats, _firsts(kinds.where("n > 1"))]
-    crowded = mixed.where(F.col("kinds") > rules.group).drop("kinds")
+    size = (F.col("windows") - 1 + rules.length).cast("long").alias("size")
+    mixed = kinds.join(several, "anchor").select("first.doc_id", "first.start", size, F.col("anchor").alias("key"), "windows", "offset", "kinds")
+    mixed = scratch.write(mixed)
+    repeats, made = _not_first(runs, kinds), [runs, kinds]
+    crowded = mixed.where(F.col("kinds") > rules.group)
     if crowded.limit(1).count():
-        apart = _extract(_by_document(rows, crowded.withColumn("sort", F.lit(False))), rules, apart=True)
-        windows = scratch.write(apart.select(F.col("key").alias("anchor"), "hash", "doc_id", "start", "windows", "offset"))
+        windows = scratch.write(_apart(rows, crowded, rules))
         shared = scratch.write(_kinds(windows).where("n > 1"))
-        found.append(scratch.write(_not_first(windows, shared)))
-        equal += [found[-1], _firsts(shared)]
-    # One more pass over the texts for all contents: those to sort, and those with equal hashes, to verify.
-    wanted = mixed.where(F.col("kinds") <= rules.group).drop("kinds").withColumn("sort", F.lit(True))
-    for one in equal:
-        wanted = wanted.unionByName(one.withColumn("sort", F.lit(False)))
-    contents = scratch.write(_extract(_by_document(rows, wanted), rules))
-    scratch.free(kinds, mixed)
-    distinct = contents.where("not sort").select("key", "hash", "windows", "offset", "content").distinct()
-    strings = distinct.groupBy("key", "hash", "windows", "offset").agg(F.count("*").alias("strings"))
-    if strings.where("strings > 1").limit(1).count():
+        repeats = repeats.unionByName(_not_first(windows, shared))
+        made += [windows, shared]
+    stretches = scratch.write(_joined(repeats, rules))
+    scratch.free(*made)
+    # One more pass over the texts for all contents: those to sort, and those to verify.
+    sort = mixed.where(F.col("kinds") <= rules.group).select("doc_id", "start", "size", "key", F.lit(0).cast("long").alias("hash"), "windows", "offset", F.lit(True).alias("sort"))
+    check, repeated = _to_verify(stretches), rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.limit(1).count():  # an id of several rows may have several texts, and a place none of its own
+        check = check.join(repeated, "doc_id", "left_anti").join(repeated.withColumnRenamed("doc_id", "key"), "key", "left_anti")
+    wanted = sort.unionByName(check.withColumn("windows", F.lit(0)).withColumn("offset", F.lit(0)).withColumn("sort", F.lit(False)))
+    contents = scratch.write(_extract(rows, wanted))
+    scratch.free(mixed)
+    scratch.collect_shuffles()
+    distinct = contents.where("not sort").select("key", "hash", F.length("content").alias("size"), "content").distinct()
+    if distinct.groupBy("key", "hash", "size").agg(F.count("*").alias("strings")).where("strings > 1").limit(1).count():
         return None
     out = scratch.write(_sorted_out(contents.where("sort").drop("hash", "sort"), rules))
     scratch.free(contents)
-    for one in found:
-        out = out.unionByName(one.select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + rules.length).alias("end")))
-    return out
+    return stretches.select("doc_id", "start", "end").unionByName(out)
 
 
 def repeated_spans(docs: DataFrame, rules: SuffixRules, scratch: Scratch) -> DataFrame:
