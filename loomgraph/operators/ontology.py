@@ -15,7 +15,9 @@ OWL = "http://www.w3.org/2002/07/owl#"
 
 #: The types that make a subject a class or a predicate.
 CLASS_TYPES = (OWL + "Class", RDFS + "Class")
-PREDICATE_TYPES = (RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty")
+PREDICATE_TYPES = (RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty", OWL + "TransitiveProperty")
+#: Predicates of every ontology.
+ALWAYS = (RDF + "value", RDFS + "label")
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -27,26 +29,27 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
 
 
 def classes(triples: DataFrame) -> DataFrame:
-    """(uri): whatever is typed as a class or takes part in a subclass relation (GR2)."""
-    typed = triples.where((F.col("p") == RDF + "type") & F.col("o").isin(*CLASS_TYPES)).select(F.col("s").alias("uri"))
-    sub = triples.where(F.col("p") == RDFS + "subClassOf").select(F.explode(F.array("s", "o")).alias("uri"))
-    return typed.unionByName(sub).distinct()
+    """(uri): whatever is typed as a class (GR2)."""
+    return triples.where((F.col("p") == RDF + "type") & F.col("o").isin(*CLASS_TYPES)).select(F.col("s").alias("uri")).distinct()
 
 
 def predicates(*triples: DataFrame) -> DataFrame:
-    """(uri, type, domains, ranges) over one or more ontologies; domains and ranges are united (GR2, GR3)."""
+    """(uri, type, domains, ranges) over one or more ontologies; domains and ranges are united (GR2, GR3). Values and labels
+    are predicates everywhere."""
     every = reduce(DataFrame.unionByName, [t.select("s", "p", "o") for t in triples])
+    always = every.sparkSession.createDataFrame([(uri, RDF + "type", RDF + "Property") for uri in ALWAYS], "s string, p string, o string")
     typed = (F.col("p") == RDF + "type") & F.col("o").isin(*PREDICATE_TYPES)
     pick = lambda p: F.sort_array(F.collect_set(F.when(F.col("p") == RDFS + p, F.col("o"))))
-    per = every.groupBy(F.col("s").alias("uri")).agg(F.max(F.when(typed, F.col("o"))).alias("type"), pick("domain").alias("domains"), pick("range").alias("ranges"))
+    per = every.unionByName(always).groupBy(F.col("s").alias("uri")).agg(F.max(F.when(typed, F.col("o"))).alias("type"), pick("domain").alias("domains"), pick("range").alias("ranges"))
     return per.where(F.col("type").isNotNull())
 
 
-def ancestors(triples: DataFrame, depth: int = 16) -> DataFrame:
+def ancestors(triples: DataFrame) -> DataFrame:
     """(uri, ancestor), each class being its own too (GR5)."""
     sub = triples.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
-    above = descendants(sub, depth).select(F.col("node").alias("uri"), F.col("descendant").alias("ancestor"))
-    return classes(triples).select("uri", F.col("uri").alias("ancestor")).unionByName(above).distinct()
+    above = descendants(sub).select(F.col("node").alias("uri"), F.col("descendant").alias("ancestor"))
+    every = classes(triples).unionByName(sub.select(F.explode(F.array("src", "dst")).alias("uri"))).distinct()
+    return every.select("uri", F.col("uri").alias("ancestor")).unionByName(above).distinct()
 
 
 def linkable(preds: DataFrame, above: DataFrame, strict: bool = True) -> DataFrame:

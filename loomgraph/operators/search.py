@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage between rounds in the session's checkpoint folder; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+from loomgraph.operators.rounds import cut
 
 
 def beam_search(start: DataFrame, expand: Callable[[DataFrame], DataFrame], width: int, results: int, rounds: int) -> DataFrame:
@@ -22,16 +15,16 @@ def beam_search(start: DataFrame, expand: Callable[[DataFrame], DataFrame], widt
     terminal states aside and keeps the `width` best others. Ends with `results` terminal states, an empty frontier or
     after `rounds`; with none found, the best state of the last frontier. Ties go to the smaller id."""
     best = (F.desc("score"), F.asc("id"))
-    frontier, found, seen = _cut(start), None, 0
+    frontier, found, seen = cut(start), None, 0
     for _ in range(rounds):
-        states = _cut(expand(frontier).dropDuplicates(["id"]))
+        states = cut(expand(frontier).dropDuplicates(["id"]))
         ended = states.where("terminal")
         found = ended if found is None else found.unionByName(ended).dropDuplicates(["id"])
         seen = found.count()
         following = states.where("not terminal").orderBy(*best).limit(width)
         if seen >= results or following.isEmpty():
             break
-        frontier = _cut(following)
+        frontier = cut(following)
     if not seen:
         return frontier.orderBy(*best).limit(1)
     return found.orderBy(*best).limit(results)
@@ -91,3 +84,41 @@ def should_stop(before: float, now: float, drop: float = 0.3, low: float = 0.3)
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """`n` rows without replacement, all if there are fewer; the same for a seed on any partitioning (REL4)."""
     return rows.withColumn("draw", uniform(F.col(key), seed)).orderBy("draw", key).limit(n).drop("draw")
+
+
+def rerank(rows: DataFrame, key: str, score: Column, features: dict[str, float], k: int, tie: str) -> DataFrame:
+    """The k best rows of a key by a score plus weighted features, with their place (SE12)."""
+    total = score
+    for name, weight in features.items():
+        total = total + weight * F.col(name)
+    w = Window.partitionBy(key).orderBy(total.desc(), tie)
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+
+
+def suggest_links(edges: DataFrame, cls: str, link: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Of each class its incoming links by frequency (SE23); with `nodes` (cls, node) a row for each node of that class that
+    is there already, and one for a new node, which is null."""
+    per = edges.groupBy(cls, link).agg(F.count("*").alias("n"))
+    per = per.withColumn("place", F.row_number().over(Window.partitionBy(cls).orderBy(F.desc("n"), link)).cast("long"))
+    if nodes is None:
+        return per
+    own = nodes.select(F.col("cls").alias(cls), "node")
+    return per.join(own.unionByName(own.select(cls).distinct().withColumn("node", F.lit(None).cast(nodes.schema["node"].dataType))), cls)
+
+
+def tracked(rounds: list[DataFrame]) -> DataFrame:
+    """The states of all rounds of a search, each with its round and its place in it (SE2)."""
+    out = None
+    for k, states in enumerate(rounds):
+        one = states.select(F.lit(k).alias("round"), "id", "score").withColumn("place", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("score"), "id")).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def start_states(attributes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, attr, cls, predicate, score): a state for each candidate type of an attribute whose predicate is its class's key
+    (SE4). `attributes`: attr, cls, predicate, score; `keys`: cls, predicate. Without any, every candidate is a start."""
+    own = attributes.join(keys.select("cls", "predicate").distinct(), ["cls", "predicate"], "left_semi")
+    some = own.select("attr").limit(1).count()
+    out = own if some else attributes
+    return out.select(F.concat_ws("|", "attr", "cls", "predicate").alias("id"), "attr", "cls", "predicate", "score")

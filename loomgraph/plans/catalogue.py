@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalar as S
@@ -268,14 +267,12 @@ def agg17(spark, d):
 
 @query("agg18_local_structure", "SELECT event_type, user_id % 7 AS child, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id % 7 DESC) AS place FROM events GROUP BY 1, 2")
 def agg18(spark, d):
-    per = T(spark, d, "events").groupBy("event_type", (F.col("user_id") % 7).alias("child")).agg(F.count("*").alias("n"))
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), F.desc("child"))).cast("long"))
+    return statistics.local_structure(T(spark, d, "events").withColumn("child", F.col("user_id") % 7), "event_type", ["child"])
 
 
-@query("agg19_label_codes", "SELECT DISTINCT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part")
+@query("agg19_label_codes", "SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS code FROM part GROUP BY 1")
 def agg19(spark, d):
-    brands = T(spark, d, "part").select("p_brand").distinct()
-    return brands.withColumn("code", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("long"))
+    return relational.first_seen_codes(T(spark, d, "part"), "p_brand", "p_partkey")
 
 
 @query("agg20_order_constraint", "SELECT round(avg((l_extendedprice >= l_quantity)::int), 6) AS share, max((l_extendedprice > l_quantity)::int) AS some_greater FROM lineitem")
@@ -327,13 +324,13 @@ def sim8(spark, d):
     return similarity.cosine(_weights(spark, d)).withColumn("cosine", r6("cosine"))
 
 
-_EDGES = "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'f' || l_returnflag FROM lineitem WHERE l_quantity = 50)"
+_EDGES = "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'f' || l_returnflag FROM lineitem)"
 
 
 def _edges(spark, d):
     a = T(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
     b = T(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
-    c = T(spark, d, "lineitem").where("l_quantity = 50").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("f"), "l_returnflag").alias("dst")).distinct()
+    c = T(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("f"), "l_returnflag").alias("dst")).distinct()
     return a.unionByName(b).unionByName(c)
 
 
@@ -347,7 +344,7 @@ def gr10(spark, d):
     return graph.adjacency(_edges(spark, d))
 
 
-@query("gr11_descendants", _EDGES + ", w(node, descendant, hops) AS (SELECT src, dst, 1 FROM e UNION SELECT w.node, e.dst, w.hops + 1 FROM w JOIN e ON w.descendant = e.src WHERE w.hops < 8) SELECT node, descendant, min(hops)::bigint AS hops FROM w GROUP BY 1, 2")
+@query("gr11_descendants", _EDGES + ", w(node, descendant, hops) AS (SELECT src, dst, 1 FROM e UNION SELECT w.node, e.dst, w.hops + 1 FROM w JOIN e ON w.descendant = e.src) SELECT node, descendant, min(hops)::bigint AS hops FROM w GROUP BY 1, 2")
 def gr11(spark, d):
     return graph.descendants(_edges(spark, d))
 
@@ -357,9 +354,11 @@ def gr13(spark, d):
     return graph.paths(_edges(spark, d))
 
 
-@query("gr12_cycles", "SELECT DISTINCT l_returnflag AS node FROM lineitem WHERE false")
+@query("gr12_cycles", "WITH RECURSIVE e AS (SELECT 'p' || p_partkey AS src, 'p' || (p_partkey * p_partkey + 3) % 97 AS dst FROM part), w(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON w.b = e.src) SELECT DISTINCT a AS node FROM w WHERE a = b")
 def gr12(spark, d):
-    return graph.in_cycle(_edges(spark, d))
+    # Every part points at one other: chains that run into rings, and rings of several sizes.
+    key = F.col("p_partkey")
+    return graph.in_cycle(T(spark, d, "part").select(F.concat(F.lit("p"), key).alias("src"), F.concat(F.lit("p"), (key * key + 3) % 97).alias("dst")))
 
 
 @query("gr25_cascade", _EDGES + ", w(node) AS (SELECT 'r1' UNION SELECT e.dst FROM w JOIN e ON w.node = e.src) SELECT node FROM w")
