@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,19 +100,27 @@ def keep_query_params(url: Column, names: list[str]) -> Column:
     return F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(kept, "&"))).otherwise(base)
 
 
-def simplify_uri(uri: Column) -> Column:
-    """prefix:name where a namespace is known, else the URI (FN15)."""
+def simplify_uri(uri: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """prefix:name where a namespace is known, else the URI; one that is short already stays (FN15)."""
     out = uri
-    for prefix, space in PREFIXES.items():
+    for prefix, space in prefixes.items():
         out = F.when(uri.startswith(space), F.concat(F.lit(prefix + ":"), F.substr(uri, F.lit(len(space) + 1)))).otherwise(out)
-    return out
+    return F.when(uri.contains(":") & ~uri.contains("://"), uri).otherwise(out)
 
 
-def full_uri(short: Column) -> Column:
-    """The namespace in place of a known prefix (FN15)."""
+def full_uri(short: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """The namespace in place of a known prefix; a full URI stays (FN15)."""
     out = short
-    for prefix, space in PREFIXES.items():
+    for prefix, space in prefixes.items():
         out = F.when(short.startswith(prefix + ":"), F.concat(F.lit(space), F.substr(short, F.lit(len(prefix) + 2)))).otherwise(out)
+    return F.when(short.contains("://"), short).otherwise(out)
+
+
+def in_known_namespace(uri: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """Whether the URI begins with a known namespace (FN15)."""
+    out = F.lit(False)
+    for space in prefixes.values():
+        out = out | uri.startswith(space)
     return out
 
 
@@ -202,3 +212,29 @@ def date_share(vals: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def auto_wrap(text: Column, width: int, delimiters: str = " :_/", camel: bool = True) -> Column:
+    """A text broken into lines of at most `width` characters, as late as possible, behind a delimiter or before a capital
+    that follows another character (FN4). A part that is longer stands alone; before the first one this leaves a line empty."""
+    behind = "[" + re.escape(delimiters) + "]"
+    cuts = f"(?<={behind})" + (f"|(?<=[^\\p{{Lu}}{re.escape(delimiters)}])(?=\\p{{Lu}})" if camel else "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+
+    def add(acc: Column, part: Column) -> Column:
+        fits = F.length(acc["last"]) + F.length(part) <= width
+        done = F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], acc["last"], F.lit("\n")))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(acc["last"], part)).otherwise(part).alias("last"))
+
+    return F.aggregate(F.split(text, cuts, -1), start, add, lambda acc: F.concat(acc["done"], acc["last"]))
+
+
+def preview(text: Column, start: Column, end: Column, window: int = 30, delimiter: str = " ") -> Column:
+    """A part of a text with what stands around it, whole words of at most `window` characters on either side (FN12)."""
+    left = F.substr(text, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window)))
+    right = F.substr(text, end + 1, F.lit(window))
+    if delimiter:
+        left = F.when(F.locate(delimiter, left) > 0, F.substr(left, F.locate(delimiter, left) + 1)).otherwise(left)
+        last = F.length(right) - F.locate(delimiter, F.reverse(right))
+        right = F.when(F.locate(delimiter, right) > 0, F.substr(right, F.lit(1), last)).otherwise(F.substr(right, F.lit(1), F.greatest(F.length(right) - 1, F.lit(0))))
+    return F.concat(left, F.substr(text, start + 1, end - start), right)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.operators import similarity
+from loomgraph.operators import relational, similarity
 
 FEATURES = ("name", "ks", "mann_whitney", "number_jaccard", "text_jaccard", "cosine")
 
@@ -149,9 +149,8 @@ def wide_scores(df: DataFrame, key: str, prefix: str = "scores_", between: str =
 
 def one_hot(rows: DataFrame, key: str, feature: str, weight: str) -> DataFrame:
     """(key, indices, values): named weighted features as a sparse vector over all names in order (ML6). Names are
-    numbered by one window over the distinct names, which are as many as the model has weights."""
-    names = rows.select(F.col(feature).alias("f")).distinct()
-    names = names.withColumn("i", (F.row_number().over(Window.orderBy("f")) - 1).cast("int"))
+    numbered in ranges of their order."""
+    names = relational.ranked(rows.select(F.col(feature).alias("f")).distinct(), ["f"], "i").withColumn("i", F.col("i").cast("int"))
     per = rows.groupBy(key, F.col(feature).alias("f")).agg(F.sum(weight).alias("w")).join(names, "f")
     pairs = per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("p"))
     return pairs.select(key, F.col("p.i").alias("indices"), F.col("p.w").alias("values"))

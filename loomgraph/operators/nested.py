@@ -143,3 +143,45 @@ def same_scope(paths: DataFrame) -> DataFrame:
     own = paths.select("path", parent.alias("parent"))
     a, b = own.select(F.col("path").alias("a"), F.col("parent").alias("pa")), own.select(F.col("path").alias("b"), F.col("parent").alias("pb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("pa") == F.col("pb")).alias("same"))
+
+
+def scope_rows(df: DataFrame, scope: str) -> DataFrame:
+    """The objects at a path as rows, lists of objects on the way gone through; the empty path is the table itself
+    (REL2). An empty list gives no row."""
+    out, kind = df, df.schema
+    if not scope:
+        return df
+    col = None
+    for step in scope.split("|"):
+        col = F.col(step) if col is None else col[step]
+        kind = kind[step].dataType
+        if kind.typeName() == "array":
+            out = out.select(F.explode(col).alias("value"))
+            col, kind = F.col("value"), kind.elementType
+    return out.select(col.alias("value")).select("value.*")
+
+
+def project(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Only these leaf paths, the objects and lists around them kept in shape (REL1). Fields are picked from their parents,
+    so a columnar scan reads the named leaves alone."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for step in path.split("|"):
+            at = at.setdefault(step, {})
+
+    def pick(value: Column, kind, own: dict) -> Column:
+        if not own:
+            return value
+        if kind.typeName() == "array":
+            return F.transform(value, lambda e: pick(e, kind.elementType, own))
+        made = F.struct(*[pick(value[n], kind[n].dataType, sub).alias(n) for n, sub in own.items()])
+        return F.when(value.isNotNull(), made)
+
+    return df.select(*[pick(F.col(n), df.schema[n].dataType, sub).alias(n) for n, sub in tree.items()])
+
+
+def instances(df: DataFrame, scope: str, keys: list[str], delimiter: str = ",") -> DataFrame:
+    """All objects of a class node at a path, with `view_key`, their key values joined by commas, each once (NEST15, NEST16)."""
+    rows = scope_rows(df, scope)
+    return rows.withColumn("view_key", F.concat_ws(delimiter, *[F.col(k).cast("string") for k in keys])).dropDuplicates(["view_key"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.rounds import cut
+
 
 def jaccard(values: DataFrame, group: str, value: str) -> DataFrame:
     """Of each pair of groups the Jaccard similarity of their value sets (SIM5, SIM7). Pairs are formed from
@@ -17,23 +19,44 @@ def jaccard(values: DataFrame, group: str, value: str) -> DataFrame:
     return out.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
+def value_ranges(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The least and the largest value of each group (SIM6)."""
+    return df.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
 def coverage(df: DataFrame, group: str, value: str) -> DataFrame:
     """Overlap over union of the value ranges of each pair of groups; 0 where disjoint or degenerate (SIM6)."""
-    per = df.groupBy(F.col(group).alias("g")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    per = value_ranges(df, group, value).withColumnRenamed(group, "g")
     a, b = per.select(F.col("g").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), per.select(F.col("g").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     over = F.least("ha", "hb") - F.greatest("la", "lb")
     whole = F.greatest("ha", "hb") - F.least("la", "lb")
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.when((over > 0) & (whole > 0), over / whole).otherwise(0.0).alias("coverage"))
 
 
+def _cumulated(per: DataFrame, value: str, counts: list[str]) -> DataFrame:
+    """Rows of distinct values with the sums of `counts` over all smaller values, as `before_<count>`. Values are dealt into
+    ranges, summed within each, and moved on by the totals of the ranges before, so no task sorts them all."""
+    n = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(per.repartitionByRange(n, value).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range.
+    starts = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in counts])
+    within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_own_{c}") for c in counts]).join(F.broadcast(starts), "_part")
+    return own.select(*per.columns, *[(F.col(f"_{c}") + F.col(f"_own_{c}")).alias(f"before_{c}") for c in counts])
+
+
 def ks_statistic(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """Largest distance of two groups' distribution functions (SIM2), over per-value counts."""
+    """(ks, na, nb): the largest distance of two groups' distribution functions, over per-value counts, and the groups'
+    sizes (SIM2); labelling.ks_p_value gives the chance of a larger one."""
     per = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(
         F.sum((F.col(group) == a).cast("long")).alias("na"), F.sum((F.col(group) == b).cast("long")).alias("nb")
     )
-    upto, every = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.sum("na").over(upto) / F.sum("na").over(every) - F.sum("nb").over(upto) / F.sum("nb").over(every)
-    return per.select(F.abs(gap).alias("gap")).agg(F.max("gap").alias("ks"))
+    upto = _cumulated(per, value, ["na", "nb"])
+    # One row.
+    total = F.broadcast(per.agg(F.sum("na").alias("all_a"), F.sum("nb").alias("all_b")))
+    gap = (F.col("before_na") + F.col("na")) / F.col("all_a") - (F.col("before_nb") + F.col("nb")) / F.col("all_b")
+    return upto.join(total).agg(F.max(F.abs(gap)).alias("ks"), F.max("all_a").alias("na"), F.max("all_b").alias("nb"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
@@ -41,8 +64,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     per = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(
         F.sum((F.col(group) == a).cast("long")).alias("na"), F.count("*").alias("n")
     )
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = _cumulated(per, value, ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     out = ranked.agg(F.sum(F.col("na") * F.col("rank")).alias("r"), F.sum("na").alias("na"), (F.sum("n") - F.sum("na")).alias("nb"))
     return out.select((F.col("r") - F.col("na") * (F.col("na") + 1) / 2).alias("u"), "na", "nb")
 

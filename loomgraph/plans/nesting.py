@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalar
-from loomgraph.operators import nested
+from loomgraph.operators import nested, search, similarity
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -75,8 +75,8 @@ def nest14(spark, d):
 
 @query("nest16_unique_views", "SELECT DISTINCT c_nationkey, c_mktsegment, c_nationkey || ',' || c_mktsegment AS view_key FROM customer")
 def nest16(spark, d):
-    t = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.concat_ws(",", "c_nationkey", "c_mktsegment").alias("view_key"))
-    return t.dropDuplicates(["view_key"])
+    t = table(spark, d, "customer").select("c_nationkey", "c_mktsegment")
+    return nested.instances(t, "", ["c_nationkey", "c_mktsegment"])
 
 
 @query("rel5_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
@@ -137,15 +137,13 @@ def fn25(spark, d):
 
 @query("se12_rerank", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal + 100 * length(c_mktsegment) DESC, c_custkey) AS place FROM customer QUALIFY place <= 3")
 def se12(spark, d):
-    score = F.col("c_acctbal") + 100 * F.length("c_mktsegment")
-    w = Window.partitionBy("c_nationkey").orderBy(score.desc(), "c_custkey")
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
+    c = table(spark, d, "customer").withColumn("long", F.length("c_mktsegment"))
+    return search.rerank(c, "c_nationkey", F.col("c_acctbal"), {"long": 100}, 3, "c_custkey").select("c_custkey", "place")
 
 
 @query("se23_link_suggestions", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS place FROM orders GROUP BY 1, 2")
 def se23(spark, d):
-    per = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("n"), "o_orderpriority")).cast("long"))
+    return search.suggest_links(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
 @query("snk5_csv_rows", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
@@ -155,4 +153,4 @@ def snk5(spark, d):
 
 @query("sim6_value_ranges", "SELECT event_type, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY 1")
 def sim6(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"))
+    return similarity.value_ranges(table(spark, d, "events"), "event_type", "value").select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
