@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import catalogue, models, nesting, profiling, structure
+from loomgraph.plans import catalogue, extended, models, nesting, profiling, structure
 
-MODULES = (profiling, catalogue, nesting, models, structure)
+MODULES = (profiling, catalogue, nesting, models, structure, extended)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 Kind = Any
 
 
-def load(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
-    """CSV, JSON (whole or lines), XML or parquet by extension; duplicate rows removed (SRC1-SRC4)."""
+def load(spark: SparkSession, path: str, row_tag: str = "row", distinct: bool = True) -> DataFrame:
+    """CSV, tab-separated text, JSON (whole or lines), XML or parquet by extension, split among tasks; duplicate rows removed
+    (SRC1-SRC4). sources.documents reads documents that wrap their rows."""
     end = path.rsplit(".", 1)[-1].lower()
-    if end == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if end in ("csv", "tsv"):
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "," if end == "csv" else "\t").csv(path)
         df = df.toDF(*[c.strip() for c in df.columns])
     elif end in ("jsonl", "ndjson"):
         df = spark.read.json(path)
@@ -30,7 +31,7 @@ def load(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"no reader for {path}")
-    return df.distinct()
+    return df.distinct() if distinct else df
 
 
 def kind_of(value: Any) -> Kind:
@@ -130,3 +131,58 @@ def paths(kind: Kind, prefix: str = "") -> list[str]:
     if not isinstance(kind, dict):
         return [prefix]
     return [p for n, k in kind["fields"].items() for p in paths(k, f"{prefix}|{n}" if prefix else n)]
+
+
+def steps_to(kind: Kind, path: str) -> Kind | None:
+    """The kind at a path, null text where there is none; objects and lists of objects are gone through (SCH5)."""
+    at = kind
+    for step in path.split("|") if path else ():
+        if not isinstance(at, dict) or step not in at["fields"]:
+            return None
+        at = at["fields"][step]
+    return at
+
+
+def has_path(kind: Kind, path: str) -> bool:
+    return steps_to(kind, path) is not None
+
+
+def add_path(kind: Kind, path: str, leaf: Kind, after: str | None = None) -> Kind:
+    """A kind with one field more, last among its siblings or right behind one of them (SCH6)."""
+    first, _, rest = path.partition("|")
+    fields = dict(kind["fields"])
+    if rest:
+        return kind | {"fields": fields | {first: add_path(fields[first], rest, leaf, after.partition("|")[2] if after else None)}}
+    fields.pop(first, None)
+    names = list(fields)
+    at = names.index(after) + 1 if after in fields else len(names)
+    return kind | {"fields": {n: leaf if n == first else fields[n] for n in [*names[:at], first, *names[at:]]}}
+
+
+def remove_path(kind: Kind, path: str) -> Kind:
+    """A kind without a field, and without parents that this leaves empty (SCH7, SCH9)."""
+    first, _, rest = path.partition("|")
+    fields = dict(kind["fields"])
+    if not rest:
+        del fields[first]
+        return kind | {"fields": fields}
+    inner = remove_path(fields[first], rest)
+    return kind | {"fields": fields | {first: inner} if inner["fields"] else {n: k for n, k in fields.items() if n != first}}
+
+
+def to_text(kind: Kind) -> str:
+    """A kind as JSON, and from_text() back (SCH9)."""
+    return json.dumps(kind)
+
+
+def from_text(text: str) -> Kind:
+    return json.loads(text)
+
+
+def kind_of_schema(kind: T.DataType) -> Kind:
+    """The kind of a table that Spark has read (SCH9)."""
+    if isinstance(kind, T.StructType):
+        return {"list": False, "fields": {f.name: kind_of_schema(f.dataType) for f in kind.fields}}
+    if isinstance(kind, T.ArrayType):
+        return kind_of_schema(kind.elementType) | {"list": True} if isinstance(kind.elementType, T.StructType) else "list"
+    return "single"
