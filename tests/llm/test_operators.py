@@ -644,17 +644,127 @@ def test_bins_against_plain_best_fit(most):
     assert sorted(n for b in made for n in b) == sorted(lengths)
 
 
-def test_pipeline_stages(spark, tmp_path, monkeypatch):
+def pipeline_rows():
+    """Documents long enough to pass, some with repeats, near copies, shared passages, one id with two texts, repeated rows."""
+    rng, rows = random.Random(44), []
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = " ".join(text(60))
+    for d in range(0, 120):
+        w = text(rng.randint(40, 160))
+        if d % 9 == 0:
+            w[5:5] = w[:40] * 2
+        if d % 6 == 1:
+            w = rows[-1][1].split()
+            w[rng.randrange(len(w))] = "changed"
+        body = " ".join(w)
+        rows.append((d, f"{body} {passage} {rng.randrange(9)}" if d % 11 == 3 else body, f"s{d % 4}"))
+    return [*rows, (500, " ".join(text(80)), "s0"), (500, " ".join(text(80)), "s1"), (501, rows[20][1], "s1"), (502, rows[21][1] + " é", None), (502, rows[21][1] + " é", None), (None, " ".join(text(70)), "s2"), (503, None, "s3"), (504, "", "s3")]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Rows before the first stage and after each."""
     import corpus_pipeline as p
 
-    rows = near_rows(200) + ODD
-    docs = spark.createDataFrame([(d, t, "en", f"s{(d or 0) % 4}", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    at = tmp_path_factory.mktemp("pipeline")
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in pipeline_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(at / "documents.parquet"))
+    now, out = spark.read.parquet(str(at / "documents.parquet")), [docs.collect()]
     for k, (_, stage) in enumerate(p.STAGES):
-        now = stage(spark, now, str(tmp_path))
-        now.write.parquet(str(tmp_path / f"stage{k}"))
-        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
-        if k < len(p.STAGES) - 1:
-            assert now.columns == list(p.COLUMNS)
-    assert now.count() > 0
+        now = stage(spark, now, str(at))
+        now.write.parquet(str(at / f"stage{k}"))
+        now = spark.read.parquet(str(at / f"stage{k}"))
+        assert k == len(p.STAGES) - 1 or now.columns == list(p.COLUMNS)
+        out.append(now.collect())
+    return at, out
+
+
+def key(rows):
+    return sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "", r.source or "") for r in rows))
+
+
+def test_pipeline_quality(stages):
+    before, after = stages[1][:2]
+    rules = quality.QualityRules()
+    stay = []
+    for r in before:
+        w = common.words(r.text)
+        tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        windows = {p for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for p in range(k, k + 3)}
+        covered, longest = repeated_brute(w, rules.min_repeat)
+        if len(w) >= 50 and 100 * len(windows) <= 50 * len(w) and covered <= 0.2 * len(w) and longest <= 0.1 * len(w):
+            stay.append(r)
+    assert key(after) == key(stay) and 20 < len(stay) < len(before) - 10
+
+
+def test_pipeline_near_dedup(stages):
+    before, after = stages[1][1:3]
+    # The rows of one id are one document: its texts are linked, and where it stays each of them does, once.
+    nodes = sorted({(r.doc_id, r.text) for r in before if r.doc_id is not None})
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t in nodes)]
+    root = list(range(len(nodes)))
+    for _ in nodes:
+        for i in range(len(nodes)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if nodes[i][0] == nodes[j][0] or 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = [(d, t) for k, (d, t) in enumerate(nodes) if nodes[root[k]][0] == d]
+    assert [(d, t) for d, t, _ in key(after) if d >= 0] == want and sum(r.doc_id is None for r in after) == 1
+    assert 5 < len(want) < len(nodes) - 5 and sum(d == 500 for d, _ in want) == 2
+
+
+def test_pipeline_suffix_dedup(stages):
+    before, after = stages[1][2:4]
+    one = [r for r in before if r.doc_id is not None and r.doc_id != 500]
+    want = suffix_brute([(r.doc_id, r.text) for r in one], 100)
+    got = {r.doc_id: r for r in after}
+    assert sorted(r.doc_id or -1 for r in after) == sorted(r.doc_id or -1 for r in before)
+    changed = 0
+    for r in one:
+        text = got[r.doc_id].text
+        assert hashlib.sha256(text.encode()).hexdigest() == want[r.doc_id][1] and got[r.doc_id].n_chars == len(text)
+        changed += text != r.text
+    assert changed >= 5
+
+
+def test_pipeline_mix(spark, stages):
+    before, after = stages[1][3:5]
+    docs = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
+    per = Counter()
+    for r in mixing.mix(docs).taken.collect():
+        per[r.doc_id] += r.taken
+    size = Counter()
+    for r in before:
+        size[r.doc_id] += len((r.text or "").split())
+    times = {d: int(per[d] / n + 0.5) if n else 1 for d, n in size.items()}
+    assert Counter(key(after)) == Counter({k: n for r, k in zip(before, [key([r])[0] for r in before], strict=True) if (n := times[r.doc_id])})
+    # No source loses all its documents.
+    assert {r.source for r in after} == {r.source for r in before}
+
+
+def test_pipeline_packing_and_run(spark, stages):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    at, out = stages
+    tok = Tokenizer.from_file(packing.PackingRules().tokenizer)
+    pieces = out[5]
+    assert sum(r.length for r in pieces) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in out[4])
+    assert len({r.sequence_id for r in pieces}) <= -(-sum(r.length for r in pieces) // 2048) + 1
+    _offsets(pieces)
+    digest = lambda rows: sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
+    assert digest(p.run(spark, str(at)).collect()) == digest(pieces)
+
+
+def test_pipeline_odd_and_empty(spark, odd, empty, tmp_path):
+    import corpus_pipeline as p
+
+    for name, docs in (("odd", odd.select(*p.COLUMNS)), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = p.run(spark, str(tmp_path / name)).collect()
+        assert name == "odd" or not rows
+    one = odd.select(*p.COLUMNS)
+    for _, stage in p.STAGES[:-1]:  # every stage by itself on rows that the first would have left out
+        got = stage(spark, one, str(tmp_path))
+        assert got.columns == list(p.COLUMNS) and got.count() >= 0
