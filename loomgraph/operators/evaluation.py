@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.search import uniform
+
 
 def ranked_metrics(gold: DataFrame, ranked: DataFrame, key: str, label: str) -> DataFrame:
     """MRR, accuracy and coverage of ranked labels (key, label, rank) against gold (key, label) (EV1-EV3)."""
@@ -60,3 +64,17 @@ def coherence(candidates: DataFrame, known: DataFrame) -> DataFrame:
     size = own.groupBy("candidate").agg(F.count("*").alias("n"))
     best = own.join(known.distinct(), "triple").groupBy("candidate", "model").agg(F.count("*").alias("hits")).groupBy("candidate").agg(F.max("hits").alias("hits"))
     return size.join(best, "candidate", "left").select("candidate", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("coherence"))
+
+
+def with_folds(rows: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
+    """Rows with `fold`, from a seeded hash of their key: the same in every run and on every partitioning (EV12)."""
+    return rows.withColumn("fold", F.floor(uniform(F.col(key), seed) * folds).cast("int"))
+
+
+def run_folds(rows: DataFrame, folds: int, fit: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(fold, ...): every fold's rows scored by what `fit` makes of the others' (EV12). Folds are few; their jobs are one plan."""
+    out = None
+    for k in range(folds):
+        one = score(fit(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out

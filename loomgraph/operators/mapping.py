@@ -205,3 +205,38 @@ def json_objects(df: DataFrame, model: Model, id_link: str = ID_LINK) -> DataFra
     if isinstance(made.schema["o"].dataType, T.ArrayType):
         made = made.select(F.explode("o").alias("o")).where("o is not null")
     return made.select(F.to_json("o").alias("value"))
+
+
+class Worksheet:
+    """A table under commands that can be taken back and done again (NEST17). Every state is a plan on the same source, so
+    going back costs nothing and no state is stored."""
+
+    def __init__(self, df: DataFrame, functions: dict[str, Callable[..., Column]] | None = None):
+        self.source, self.functions, self.done, self.undone = df, functions, [], []
+
+    def apply(self, command: dict) -> Worksheet:
+        """One command more; one that fails on the table as it is leaves it as it was."""
+        run(self.source, [*self.done, command], self.functions)
+        self.done, self.undone = [*self.done, command], []
+        return self
+
+    def undo(self) -> Worksheet:
+        if self.done:
+            self.undone.append(self.done.pop())
+        return self
+
+    def redo(self) -> Worksheet:
+        if self.undone:
+            self.done.append(self.undone.pop())
+        return self
+
+    @property
+    def table(self) -> DataFrame:
+        return run(self.source, self.done, self.functions)[0]
+
+    @property
+    def model(self) -> Model:
+        return run(self.source, self.done, self.functions)[1]
+
+    def script(self) -> str:
+        return write_script(self.done)

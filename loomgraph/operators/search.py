@@ -122,3 +122,14 @@ def start_states(attributes: DataFrame, keys: DataFrame) -> DataFrame:
     some = own.select("attr").limit(1).count()
     out = own if some else attributes
     return out.select(F.concat_ws("|", "attr", "cls", "predicate").alias("id"), "attr", "cls", "predicate", "score")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with `draw`, a number by which they are in random order, the same for a seed on any partitioning (SE18)."""
+    return rows.withColumn("draw", uniform(F.col(key), seed))
+
+
+def choice(rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """One row of each group by chance (SE18): the least draw, by one aggregate."""
+    own = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(group).agg(F.min_by(own, F.struct(uniform(F.col(key), seed), F.col(key))).alias("_row")).select("_row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import intervals, paths, scalar
-from loomgraph.operators import features, graph, inference, integration, labelling, nested, relational, search, similarity, statistics, tensors
+from loomgraph.operators import evaluation, features, graph, inference, integration, labelling, modelling, nested, relational, search, similarity, statistics, tensors
 from loomgraph.session import table
 from loomgraph.sources import documents, files, store
 
@@ -476,3 +476,59 @@ def snk10(spark, d):
 @query("snk10_closed_world", _PSL + " SELECT a.s, b.p, c.o FROM (SELECT DISTINCT s FROM t) a, (SELECT DISTINCT p FROM t) b, (SELECT DISTINCT o FROM t) c EXCEPT SELECT s, p, o FROM t")
 def snk10_closed(spark, d):
     return store.psl_closed_world(_psl(spark, d))
+
+
+@query("se21_predict", "WITH s AS (SELECT c_nationkey AS source, o_orderpriority AS attr, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS p FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT source, round(sum(ln(p)), 6) AS score, count(*)::int AS n_links FROM s GROUP BY 1")
+def se21(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    shares = statistics.conditional(o, ["c_nationkey"], "o_orderpriority")
+    base = shares.select(F.col("c_nationkey").alias("source"), F.col("o_orderpriority").alias("attr"), F.lit("Order").alias("cls"), F.col("o_orderpriority").alias("predicate"), F.col("p").alias("score"))
+    worse = base.withColumn("cls", F.lit("Line")).withColumn("score", F.col("score") / 2)
+    links = spark.createDataFrame([("Order", "has", "Line", 0.1), ("Ship", "of", "Order", 0.1), ("Ship", "in", "Line", 0.1)], "src string, predicate string, dst string, p double")
+    best = modelling.predict(base.unionByName(worse), links, width=8)
+    return best.select("source", r6("score").alias("score"), F.size("links").alias("n_links"))
+
+
+@query("se6_expansions", """
+    WITH s AS (SELECT DISTINCT c_nationkey AS source, c_mktsegment AS attr, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS k FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer))
+    SELECT source, 'A' AS first, 'into' AS how, count(*) AS n FROM s WHERE k = 2 GROUP BY 1 UNION ALL SELECT source, 'A', 'below', count(*) FROM s WHERE k = 2 GROUP BY 1
+    UNION ALL SELECT source, 'B', 'into', count(*) FROM s WHERE k = 2 GROUP BY 1 UNION ALL SELECT source, 'B', 'above', count(*) FROM s WHERE k = 2 GROUP BY 1
+    UNION ALL SELECT source, 'B', 'beside', count(*) * 2 FROM s WHERE k = 2 GROUP BY 1""")
+def se6(spark, d):
+    """Every way to merge a source's second attribute in: A may hold Bs, and so may C."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_mktsegment").alias("attr")).distinct()
+    types = c.withColumn("cls", F.explode(F.array(F.lit("A"), F.lit("B")))).withColumn("predicate", F.col("attr")).withColumn("score", F.lit(0.5))
+    links = spark.createDataFrame([("A", "has", "B", 0.5), ("C", "of", "B", 0.5)], "src string, predicate string, dst string, p double")
+    out = modelling.expand(modelling.first_states(types), types, links)
+    n = F.size("nodes")
+    how = F.when(n == 1, "into").when(n == 3, "beside").when(F.exists("links", lambda e: e["dst"] == 0), "above").otherwise("below")
+    return out.groupBy("source", F.col("nodes")[0]["label"].alias("first"), how.alias("how")).agg(F.count("*").alias("n"))
+
+
+@query("se19_eliminations", "WITH o AS (SELECT o_custkey AS graph, 's' || o_orderstatus AS node, 'd' || o_orderkey AS leaf, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS same FROM orders), v AS (SELECT graph, leaf AS gone, node, same FROM o), t AS (SELECT graph, count(*) AS leaves, count(DISTINCT node) AS nodes FROM o GROUP BY 1) SELECT v.graph, gone, leaves - 1 + nodes - (same = 1)::int AS n FROM v JOIN t ON t.graph = v.graph WHERE leaves > 1")
+def se19(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("graph"), F.concat(F.lit("s"), "o_orderstatus").alias("node"), F.concat(F.lit("d"), "o_orderkey").alias("leaf"))
+    top = o.select("graph", F.lit("root").alias("src"), F.lit("has").alias("label"), F.col("node").alias("dst"), F.lit(False).alias("data")).distinct()
+    low = o.select("graph", F.col("node").alias("src"), F.lit("is").alias("label"), F.col("leaf").alias("dst"), F.lit(True).alias("data"))
+    return modelling.eliminate(top.unionByName(low)).groupBy("graph", "gone").agg(F.count("*").alias("n"))
+
+
+_DRAW = "(('0x' || substr(md5(o_orderkey || '#5'), 1, 12))::bigint + 1) / 281474976710657.0::double"
+
+
+@query("ev12_folds", f"WITH r AS (SELECT o_orderpriority AS p, o_totalprice AS v, floor({_DRAW} * 4)::int AS fold FROM orders), k AS (SELECT unnest(range(4))::int AS k), m AS (SELECT k, p, avg(v) AS m FROM k JOIN r ON fold <> k GROUP BY 1, 2) SELECT fold, round(avg(abs(v - m)), 4) AS error, count(*) AS n FROM r JOIN m ON k = fold AND m.p = r.p GROUP BY 1")
+def ev12(spark, d):
+    rows = evaluation.with_folds(table(spark, d, "orders"), "o_orderkey", 4, 5)
+    fit = lambda train: train.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m"))
+    score = lambda model, test: test.join(model, "o_orderpriority").agg(F.round(F.avg(F.abs(F.col("o_totalprice") - F.col("m"))), 4).alias("error"), F.count("*").alias("n"))
+    return evaluation.run_folds(rows, 4, fit, score)
+
+
+@query("se18_choice", f"SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_DRAW}, o_orderkey) = 1")
+def se18(spark, d):
+    return search.choice(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 5)
+
+
+@query("se18_shuffled", f"SELECT o_orderkey, round({_DRAW}, 9) AS draw FROM orders")
+def se18_shuffled(spark, d):
+    return search.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5).withColumn("draw", F.round("draw", 9))
