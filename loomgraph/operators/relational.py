@@ -152,3 +152,14 @@ def batches(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Rows in n contiguous batches of an order, equally large but for the last, which takes the rest (UT1)."""
     size = F.greatest(F.floor(F.lit(df.count()) / n), F.lit(1))
     return ranked(df, order, "_i").withColumn("batch", F.least(F.floor(F.col("_i") / size), F.lit(n - 1)).cast("long")).drop("_i")
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, default: object = None) -> DataFrame:
+    """Rows with the value that a table has under all their keys together, the default where it has none (UT4)."""
+    found = df.join(table.select(*keys, F.col(value)), keys, "left")
+    return found if default is None else found.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+
+def at_positions(df: DataFrame, positions: DataFrame, order: list[str]) -> DataFrame:
+    """The rows at listed positions (i, position) of an order, as often as they are listed (UT8)."""
+    return positions.join(ranked(df, order, "position"), "position")

@@ -216,3 +216,15 @@ def concat(tensors: list[Tensor], dim: int = 0) -> Tensor:
         at += t.shape[dim]
     first = tensors[0].shape
     return Tensor(reduce(DataFrame.unionByName, parts), (*first[:dim], at, *first[dim + 1 :]))
+
+
+def write(tensor: Tensor, path: str) -> None:
+    """A tensor's cells, and its shape beside them (ML5)."""
+    tensor.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    spark = tensor.cells.sparkSession
+    spark.createDataFrame([(list(tensor.shape),)], "shape array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def read(spark: SparkSession, path: str) -> Tensor:
+    """What write() wrote (ML5)."""
+    return Tensor(spark.read.parquet(f"{path}/cells"), tuple(spark.read.parquet(f"{path}/shape").first()["shape"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import intervals, paths, scalar
+from loomgraph.functions import annotate, intervals, paths, scalar
 from loomgraph.operators import evaluation, features, graph, inference, integration, labelling, modelling, nested, relational, search, similarity, statistics, tensors
 from loomgraph.session import table
 from loomgraph.sources import documents, files, store
@@ -532,3 +532,33 @@ def se18(spark, d):
 @query("se18_shuffled", f"SELECT o_orderkey, round({_DRAW}, 9) AS draw FROM orders")
 def se18_shuffled(spark, d):
     return search.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5).withColumn("draw", F.round("draw", 9))
+
+
+@query("fn12_annotate", "SELECT item_id, '<i><b>' || split_part(text, ' ', 1) || '</b>' || substr(text, length(split_part(text, ' ', 1)) + 1) || '</i>' AS marked FROM benchmark")
+def fn12_annotate(spark, d):
+    span = lambda a, b, tag: F.struct(a.alias("start"), b.alias("end"), F.lit(f"<{tag}>").alias("open"), F.lit(f"</{tag}>").alias("close"))
+    first, end, zero = F.length(F.substring_index("text", " ", 1)), F.length("text"), F.lit(0)
+    # The last one crosses the first word and goes.
+    spans = F.array(span(zero, first, "b"), span(zero, end, "i"), span(first - 1, first + 1, "u"))
+    return table(spark, d, "benchmark").select("item_id", annotate.annotate(F.col("text"), spans).alias("marked"))
+
+
+@query("ut4_lookup", "SELECT o_orderkey, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment, 1 AS n FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'")
+def ut4(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("b"), F.lit(1).alias("n"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), F.lit("BUILDING").alias("b"))
+    return relational.lookup(o, c, ["a", "b"], "n", 0).select("o_orderkey", "n")
+
+
+@query("ut8_positions", "SELECT p_partkey % 50 AS position, c_custkey FROM part JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) ON i = p_partkey % 50")
+def ut8(spark, d):
+    at = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("position"))
+    return relational.at_positions(table(spark, d, "customer").select("c_custkey"), at, ["c_custkey"])
+
+
+@query("src15_pipeline_input", "SELECT 'd' || c_nationkey AS dataset, i::int AS position, CASE WHEN i < 2 THEN 'train' WHEN i = 2 THEN 'test' END AS role, '{\"id\":' || k || '}' AS model FROM (SELECT c_nationkey, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)")
+def src15(spark, d):
+    models = F.transform(F.sort_array(F.collect_list("c_custkey")), lambda k: F.struct(k.alias("id")))
+    per = table(spark, d, "customer").groupBy("c_nationkey").agg(models.alias("semantic_models"))
+    whole = F.struct(F.concat(F.lit("d"), "c_nationkey").alias("dataset"), "semantic_models", F.array(F.lit(0), F.lit(1)).alias("train_sm_idxs"), F.array(F.lit(2)).alias("test_sm_idxs"))
+    return documents.pipeline_input(per.select(F.to_json(whole).alias("value")))

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import scalar
+from loomgraph import settings
+from loomgraph.functions import annotate, scalar
 from loomgraph.operators import graph, integration, relational, statistics, tensors
 from loomgraph.sources import documents, files, store
 
@@ -109,7 +110,7 @@ def as_array(t):
     return out
 
 
-def test_tensors_against_numpy(spark):
+def test_tensors_against_numpy(spark, tmp_path):
     a, b = tensors.randn(spark, 3, 4, seed=1), tensors.randn(spark, 4, 2, seed=2)
     x, y = as_array(a), as_array(b)
     assert np.isfinite(x).all() and abs(x.mean()) < 1.5 and np.array_equal(x, as_array(tensors.randn(spark, 3, 4, seed=1)))
@@ -125,6 +126,8 @@ def test_tensors_against_numpy(spark):
     z[:, 2] = x[:, 0]
     assert np.allclose(as_array(a.assign((None, 2), a.at(None, 0))), z)
     assert (a + 0.0).same(a) and not (a + 1.0).same(a)
+    tensors.write(a, f"{tmp_path}/t")
+    assert tensors.read(spark, f"{tmp_path}/t").same(a)
     with pytest.raises(ValueError):
         a.view(5, 5)
 
@@ -193,3 +196,43 @@ def test_wrap_keeps_long_parts(spark):
     words = ["".join(rng.choice("abAB :_/1") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r.x for r in df.select(scalar.auto_wrap(F.col("w"), 7).alias("x")).collect()] == [plain(w, 7) for w in words]
+
+
+def test_marks_nest():
+    rng = random.Random(17)
+    for _ in range(200):
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))
+        spans = []
+        for k in range(rng.randint(0, 6)):
+            a, b = sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+            spans += [{"start": a, "end": b, "open": f"<{k}>", "close": f"</{k}>"}] * (a < b)
+        for nested in (True, False):
+            out, open_ = annotate.marked(text, spans, nested), []
+            assert re.sub(r"</?\d>", "", out) == text
+            for mark in re.findall(r"</?\d>", out):
+                if mark.startswith("</"):
+                    assert open_.pop() == mark[2]
+                else:
+                    open_.append(mark[1])
+                    assert nested or len(open_) == 1
+            assert not open_
+            # What is marked is marked at its place.
+            for s in spans:
+                if s["open"] in out:
+                    inner = out[out.index(s["open"]) + 3 : out.index(s["close"])]
+                    assert re.sub(r"</?\d>", "", inner) == text[s["start"] : s["end"]]
+    with pytest.raises(ValueError):
+        annotate.marked("abcd", [{"start": 0, "end": 2, "open": "", "close": ""}, {"start": 1, "end": 3, "open": "", "close": ""}], crossed="error")
+
+
+def test_settings():
+    s = settings.Settings()
+    assert s.with_({"searching_beam": "7"}).searching_beam == 7 and s.searching_beam == 10
+    with pytest.raises(KeyError):
+        s.with_({"beam": 1})
+    got = settings.load_config('{"home": "s3://box/a", "n": 3, "in": {"path": "${home}/x", "many": "${n}", "all": ["${in.path}"]}}')
+    assert got["in"] == {"path": "s3://box/a/x", "many": 3, "all": ["s3://box/a/x"]}
+    with pytest.raises(ValueError):
+        settings.resolved({"a": "${b}", "b": "${a}"})
+    assert settings.join_path("s3://box/a", "../b") == "s3://box/b" and settings.join_path("/a", "b/../c") == "/a/c"
+    assert settings.join_path("hdfs://h:1/a", "/x") == "hdfs://h:1/x" and settings.join_path("/a", "s3://c/d") == "s3://c/d"
