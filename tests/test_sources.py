@@ -54,3 +54,39 @@ def test_small_operators(spark):
     t = spark.createDataFrame([("abcabcab", "1850-1900")], "t string, y string")
     row = t.select(scalar.find_all("ab", F.col("t")).alias("f"), scalar.split_years(F.col("y")).alias("y"), scalar.pad(F.lit("ab"), 5, "center").alias("p")).first()
     assert list(row.f) == [0, 3, 6] and row.y.death == "1900" and row.p == " ab  "
+
+
+def test_history_keeps_what_was_true_in_the_end(spark):
+    from loomgraph.sources import history
+
+    col = lambda *names: [{"columnName": n} for n in names]
+    one = lambda *names: json.dumps([{"value": col(*names)}])
+    typed = lambda path, uri, node: {"commandName": "SetSemanticTypeCommand", "inputParameters": [{"name": "SemanticTypesArray", "value": [{"DomainUri": "ex:A", "FullType": uri, "DomainId": node, "isPrimary": True}]}, {"name": "inputColumns", "value": one(*path)}]}
+    edge = lambda kind, s, label, t, **more: {"commandName": kind, "inputParameters": [{"name": "edge", "value": {"edgeSourceId": s, "edgeId": label, "edgeTargetId": t, **more}}]}
+    steps = [
+        typed(("rows", "name"), "ex:first", "ex:A1 (add)"),
+        {"commandName": "OrganizeColumnsCommand", "inputParameters": []},
+        {"commandName": "SubmitPythonTransformationCommand", "inputParameters": [{"name": "transformationCode", "value": "return getValue('name') + '!'"}, {"name": "errorDefaultValue", "value": ""}, {"name": "inputColumns", "value": one("rows", "name")}, {"name": "outputColumns", "value": one("rows", "loud")}]},
+        typed(("rows", "name"), "ex:second", "ex:A1"),
+        typed(("rows", "loud"), "ex:loud", "ex:A1"),
+        typed(("rows", "tags", "Values"), "ex:tag", "ex:A1"),
+        {"commandName": "UnassignSemanticTypeCommand", "inputParameters": [{"name": "inputColumns", "value": one("rows", "loud")}]},
+        edge("AddLinkCommand", "ex:A1", "ex:knows", "ex:B1", edgeSourceUri="ex:A", edgeTargetUri="ex:B"),
+        {"commandName": "ChangeInternalNodeLinksCommand", "inputParameters": [{"name": "newEdges", "value": [{"edgeSourceId": "ex:A1", "edgeId": "ex:likes", "edgeTargetId": "ex:B1"}]}]},
+        edge("AddLinkCommand", "ex:A1", "ex:has", "ex:C1"),
+        edge("DeleteLinkCommand", "ex:A1", "ex:has", "ex:C1"),
+        {"commandName": "AddLiteralNodeCommand", "inputParameters": [{"name": "literalValue", "value": "x"}]},
+        edge("AddLinkCommand", "ex:A1", "ex:is", "x1", edgeSourceUri="ex:A"),
+    ]
+    columns = [col("rows", "name"), col("rows", "tags", "Values")]
+    triples = spark.createDataFrame([("s", "http://x.org/dev#" + history.HISTORY, json.dumps(steps)), ("s", "http://x.org/dev#" + history.COLUMNS, json.dumps(columns)), ("s", "p", "o")], "s string, p string, o string")
+    got = history.commands(*history.texts(triples), ["name", "tags"])
+    by = {(c["_type_"], c.get("input_attr_path") or c.get("new_attr_name") or c.get("target_id")): c for c in got}
+    assert len(by) == len(got) == 6
+    assert by["SetSemanticType", "name"]["type"] == "ex:second" and by["SetSemanticType", "name"]["node_id"] == "ex:A1"
+    assert by["SetSemanticType", "tags"]["type"] == "ex:tag" and by["SetSemanticType", "literal:x:1"]["type"] == "ex:is"
+    assert by["PyTransformNewColumn", "loud"]["code"] == "return getValue(\"name\") + '!'" and by["PyTransformNewColumn", "loud"]["input_attr_paths"] == ["name"]
+    assert by["SetInternalLink", "ex:B1"]["link_lbl"] == "ex:likes" and by["SetInternalLink", "ex:B1"]["target_uri"] == "ex:B"
+    assert by["AddLiteralColumnCmd", "literal:x:1"]["val"] == "x"
+    with pytest.raises(ValueError):
+        history.commands(json.dumps([{"commandName": "FoldCommand", "inputParameters": []}]), "[]", [])
