@@ -24,7 +24,7 @@ of all documents is one row a task, and no group that one task sorts exceeds `gr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -209,9 +209,8 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: i
             other = order[first[active] + begin[active] + mid]
             mine = order[active]
             # A left element goes before equals of the right run, a right one after equals of the left.
-            _, less = _compare(prefix, raw, at[other], at[mine], length)
-            _, more = _compare(prefix, raw, at[mine], at[other], length)
-            before = np.where(own[active] % 2 == 0, less, ~more)
+            common, less = _compare(prefix, raw, at[other], at[mine], length)
+            before = less | ((own[active] % 2 == 1) & (common >= length))
             low[active] = np.where(before, mid + 1, low[active])
             high[active] = np.where(before, high[active], mid)
             active = active[low[active] < high[active]]
@@ -315,55 +314,62 @@ def _to_verify(stretches: DataFrame) -> DataFrame:
     return here.unionByName(there)
 
 
-def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], held: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of some megabytes."""
-    out, size = [], 0
-    for row in rows:
-        out.append(row)
-        size += held(row)
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict]]:
-    """Every listed part (with start and size) of the texts, and its bytes."""
-    for batch in batches:
-        for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for part in parts:
-                whole = raw[part["start"] : part["start"] + part["size"]]
-                if len(whole) == part["size"]:  # or else it is another text under the same doc_id
-                    yield doc, whole, part
+def _listed(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray]]]:
+    """The listed parts of a batch's texts (with start and size) some megabytes at a time: doc_id, bytes and the named
+    fields of each. Parts that reach beyond their text are of another text under the same doc_id and left out."""
+    parts = batch.column("parts")
+    ends, flat = parts.offsets.to_numpy(), parts.flatten()
+    fields = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "size", *names)}
+    docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    ends = ends - ends[0]
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    held: list[bytes] = []
+    stay: list[int] = []
+    own, bytes_ = [], 0
+    for row, raw in enumerate(raws):
+        a, b = int(ends[row]), int(ends[row + 1])
+        start, size = fields["start"][a:b].tolist(), fields["size"][a:b].tolist()
+        for i, (s, z) in enumerate(zip(start, size, strict=True)):
+            if s + z <= len(raw):
+                held.append(raw[s : s + z])
+                stay.append(a + i)
+                own.append(row)
+                bytes_ += z + 64
+        if bytes_ > 4 << 20:
+            yield docs[own], held, [fields[n][stay] for n in ("start", *names)]
+            held, stay, own, bytes_ = [], [], [], 0
+    if held:
+        yield docs[own], held, [fields[n][stay] for n in ("start", *names)]
 
 
 def _extract(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """key, hash, content, doc_id, start, windows, offset, sort of parts (doc_id, start, size and these) of the texts."""
-    names = ("start", "size", "key", "hash", "windows", "offset", "sort")
-    kinds = {"key": pa.int64(), "hash": pa.int64(), "content": pa.binary(), "doc_id": pa.int64(), "start": pa.int64(), "windows": pa.int32(), "offset": pa.int32(), "sort": pa.bool_()}
+    names = ("key", "hash", "windows", "offset", "sort")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = ((p["key"], p["hash"], whole, doc, p["start"], p["windows"], p["offset"], p["sort"]) for doc, whole, p in _listed(batches))
-        yield from _batches(made, kinds, lambda row: 100 + len(row[2]))
+        for batch in batches:
+            for doc, content, (start, key, hash_, windows, offset, sort) in _listed(batch, names):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), pa.array(hash_, pa.int64()), pa.array(content, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(offset, pa.int32()), pa.array(sort, pa.bool_())],
+                    ["key", "hash", "content", "doc_id", "start", "windows", "offset", "sort"],
+                )
 
-    lists = rows.join(parts.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("parts")), "doc_id")
+    lists = rows.join(parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", *names)).alias("parts")), "doc_id")
     return lists.mapInArrow(run, "key long, hash long, content binary, doc_id long, start long, windows int, offset int, sort boolean")
 
 
 def _apart(rows: DataFrame, runs: DataFrame, rules: SuffixRules) -> DataFrame:
     """Every window of these runs (doc_id, start, size) as a run of its own, its anchor being its hash."""
     length, shift, salt = rules.length, 64 - rules.bits, rules.seed.to_bytes(8, "little")
-    kinds = {"anchor": pa.int64(), "doc_id": pa.int64(), "start": pa.int64()}
+    hashed = lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8, salt=salt).digest(), "little", signed=True) >> shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = (
-            (int.from_bytes(hashlib.blake2b(whole[i : i + length], digest_size=8, salt=salt).digest(), "little", signed=True) >> shift, doc, p["start"] + i)
-            for doc, whole, p in _listed(batches)
-            for i in range(len(whole) - length + 1)
-        )
-        yield from _batches(made, kinds, lambda row: 24)
+        for batch in batches:
+            for doc, content, (start,) in _listed(batch, ()):
+                n = np.array([len(c) - length + 1 for c in content])
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                anchor = [hashed(c[i : i + length]) for c in content for i in range(len(c) - length + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(np.repeat(doc, n), pa.int64()), pa.array(np.repeat(start, n) + within, pa.int64())], ["anchor", "doc_id", "start"])
 
     lists = rows.join(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("parts")), "doc_id")
     out = lists.mapInArrow(run, "anchor long, doc_id long, start long")
