@@ -85,6 +85,31 @@ def duplication_table(links: DataFrame, most: int) -> DataFrame:
     )
 
 
+def link_factors(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, vars, sizes, scores): a factor for each link, its score if it is wrong and if it is right, from its features
+    (graph, edge, feature, weight) and the model's weights (feature, label 0 or 1, w) (ML9, the triple's part)."""
+    score = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight") * F.col("w"))), F.lit(0.0))
+    per = features.join(weights, "feature", "left").groupBy("graph", "edge").agg(F.array(score(0), score(1)).alias("scores"))
+    return per.select(F.col("graph").alias("key"), F.array("edge").alias("vars"), F.array(F.lit(2)).alias("sizes"), "scores")
+
+
+def duplication_factors(edges: DataFrame, table: DataFrame, weights: list[float]) -> DataFrame:
+    """(key, vars, sizes, scores): a factor for the equal links of a node (ML9, the part of duplicates): one score for each
+    set of them that is right, from duplication_table's six features. `edges`: graph, edge, src, cls, link. Groups larger
+    than the table has none."""
+    total = sum((F.col(f"f{k}") * w for k, w in enumerate(weights)), F.lit(0.0))
+    scores = table.groupBy("cls", "link", "n").agg(F.sort_array(F.collect_list(F.struct("true_links", total.alias("s")))).alias("t"))
+    scores = scores.select("cls", "link", "n", F.transform("t", lambda x: x["s"]).alias("scores"))
+    groups = edges.groupBy("graph", "src", "cls", "link").agg(F.sort_array(F.collect_list("edge")).alias("vars")).withColumn("n", F.size("vars"))
+    return groups.join(scores, ["cls", "link", "n"]).select(F.col("graph").alias("key"), "vars", F.transform("vars", lambda _: F.lit(2)).alias("sizes"), "scores")
+
+
+def kept_links(edges: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Links (graph, edge, ...) that the likeliest assignment (key, var, best) of their graph holds right (SE21's filter)."""
+    right = beliefs.where("best = 1").select(F.col("key").alias("graph"), F.col("var").alias("edge"))
+    return edges.join(right, ["graph", "edge"], "left_semi")
+
+
 def graph_chance(scores: DataFrame) -> DataFrame:
     """(key, chance): the chance that all links of a graph are right, exp(their score minus the log partition) (ML19).
     `scores`: key, factor_score (of the assignment that holds every link right), log_z."""

@@ -562,3 +562,27 @@ def src15(spark, d):
     per = table(spark, d, "customer").groupBy("c_nationkey").agg(models.alias("semantic_models"))
     whole = F.struct(F.concat(F.lit("d"), "c_nationkey").alias("dataset"), "semantic_models", F.array(F.lit(0), F.lit(1)).alias("train_sm_idxs"), F.array(F.lit(2)).alias("test_sm_idxs"))
     return documents.pipeline_input(per.select(F.to_json(whole).alias("value")))
+
+
+_TWO = "WITH g AS (SELECT s_suppkey AS key, s_acctbal / 5000 AS a, s_nationkey / 25.0 AS b FROM supplier), e AS (SELECT key, unnest([{'k': 0, 's': 0.02::double}, {'k': 2, 's': a - 0.5}, {'k': 1, 's': b - 0.5}, {'k': 3, 's': a + b + 0.7}], recursive := true) FROM g)"
+
+
+@query("ml9_factors", _TWO + " SELECT key, round(ln(sum(exp(s))), 6) AS log_z FROM e GROUP BY 1")
+def ml9(spark, d):
+    return _two_links(spark, d)[1].groupBy("key").agg(r6(F.max("log_z")).alias("log_z"))
+
+
+@query("se21_kept_links", _TWO + ", w AS (SELECT key, arg_max(k, s) AS k FROM e GROUP BY 1) SELECT key AS graph, 0 AS edge FROM w WHERE k >= 2 UNION ALL SELECT key, 1 FROM w WHERE k % 2 = 1")
+def se21_kept(spark, d):
+    edges, beliefs = _two_links(spark, d)
+    return features.kept_links(edges, beliefs).select("graph", "edge")
+
+
+def _two_links(spark, d):
+    """Suppliers with two equal links, which do better together."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("graph"), F.posexplode(F.array(F.col("s_acctbal") / 5000, F.col("s_nationkey") / 25)).alias("edge", "weight"))
+    edges = s.select("graph", "edge", F.lit(0).alias("src"), F.lit("S").alias("cls"), F.lit("has").alias("link"))
+    single = features.link_factors(s.withColumn("feature", F.lit("x")), spark.createDataFrame([("x", 1, 1.0)], "feature string, label int, w double"))
+    duplicates = features.duplication_table(spark.createDataFrame([("S", "has", True)], "cls string, link string, is_multi boolean"), 3)
+    both = single.unionByName(features.duplication_factors(edges, duplicates, [1.0, 1.0, -0.5, 0.0, 0.7, 0.0]))
+    return edges, inference.infer(both, "key")
