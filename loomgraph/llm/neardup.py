@@ -199,11 +199,11 @@ def _propose(reps: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def paths(rows: DataFrame, depth: int) -> DataFrame:
-        """key, rep and tree of the nodes at a depth; rows has rep, sig and tree."""
-        part = F.expr(f"substring(sig, tree * {4 * rules.last} + 1, {4 * depth})")
-        return rows.select(F.xxhash64("tree", part).alias("key"), "rep", "tree")
+        """key, rep and tree of the nodes at a depth; rows has rep, tree and the path of rep in it."""
+        return rows.select(F.xxhash64("tree", F.substring("path", 1, 4 * depth)).alias("key"), "rep", "tree")
 
-    every = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(rules.trees - 1))).alias("tree"))
+    way = F.expr(f"substring(sig, tree * {4 * rules.last} + 1, {4 * rules.last})").alias("path")
+    every = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(rules.trees - 1))).alias("tree")).select("rep", "tree", way)
     sketches = reps.select("rep", "sketch")
     active, links = every, []
     for depth in range(rules.first, rules.last + 1):
@@ -216,18 +216,26 @@ def _propose(reps: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
         if depth == rules.last and some:
             part = F.pmod(F.xxhash64("rep", F.lit(depth)), F.ceil(F.col("n") / rules.leaf * 2))
             leaves = leaves.unionByName(large.select(F.xxhash64("key", part).alias("key"), "rep"))
-            # Their blocks belong to one coarse group; the exact comparison parts what this joins wrongly.
-            links.append(large.select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b"))
-        boxes = leaves.join(sketches, "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "sketch")).alias("leaf"))
-        links.append(boxes.select("leaf").mapInArrow(compare, "a long, b long"))
-        links[-1] = scratch.write(links[-1])
+        # Classes that are alike meet in many trees: each different set of classes gets its sketches once.
+        sets = leaves.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+        members = sets.select(F.xxhash64("reps").alias("set"), F.explode("reps").alias("rep"))
+        boxes = members.join(sketches, "rep").groupBy("set").agg(F.collect_list(F.struct("rep", "sketch")).alias("leaf"))
+        links.append(scratch.write(boxes.select("leaf").mapInArrow(compare, "a long, b long")))
+        if some:
+            if depth == rules.last:
+                # Their blocks belong to one coarse group; the exact comparison parts what this joins wrongly.
+                links.append(scratch.write(large.select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b")))
+            else:
+                active = scratch.write(large.select("rep", "tree").join(reps.select("rep", "sig"), "rep").select("rep", "tree", way))
+        scratch.free(held)
         if not some:
             break
-        active = large.select("rep", "tree").join(reps.select("rep", "sig"), "rep")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return scratch.write(out)
+    out = scratch.write(out.distinct())
+    scratch.free(*links)
+    return out
 
 
 def _linked(one: np.ndarray, tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -341,8 +349,13 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     some_id = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some_id.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     # Written at once: a class's number is unique by its partition and row, and stays what it is.
-    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
-    proposed = _propose(classes.select(F.col("cid").alias("rep"), "sig", "sketch"), rules, scratch)
+    wide = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = scratch.write(wide.select("cid", "doc_id", *key))
+    narrow = scratch.write(signed.select("doc_id", *key))
+    scratch.free(signed)
+    signed, some_id = narrow, narrow.where("n_shingles > 0 and doc_id is not null")
+    proposed = _propose(wide.select(F.col("cid").alias("rep"), "sig", "sketch"), rules, scratch)
+    scratch.free(wide)
     coarse = scratch.write(components(proposed, scratch).withColumnRenamed("node", "cid"))
     scratch.collect_shuffles()
 
