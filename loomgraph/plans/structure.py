@@ -64,7 +64,7 @@ def gr26(spark, d):
     SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM s) OR n_nationkey NOT IN (SELECT s_nationkey FROM had)""")
 def gr25(spark, d):
     gone = table(spark, d, "supplier").where("s_acctbal < 5000 and s_suppkey % 4 != 0").select(_node("s", "s_suppkey").alias("node"))
-    return graph.prune_childless(_world(spark, d), gone, 2).select("src", "dst")
+    return graph.prune_childless(_world(spark, d), gone).select("src", "dst")
 
 
 @query("snk8_dot_lines", """SELECT '"r' || n_regionkey || '" -> "n' || n_nationkey || '" [label="has"];' AS value FROM nation""")
