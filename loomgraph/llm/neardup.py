@@ -4,9 +4,9 @@ A document is its set of distinct word shingles; equal sets are one class from t
 doc_id with different texts are one document: their classes are tied by a link of their own. Each of several
 independent trees sends a class down the path of its minwise tokens, one token a level. A node with few
 classes is a leaf, and its classes are compared exhaustively by their minhash sketches; a node with more
-branches on the next token. At the last level a node that is still large is compared in blocks, which
-one link each ties together. A pair at the threshold J shares a leaf of depth d with probability
-1 - (1 - J ** d) ** trees; `trees` is chosen so that leaves at the last level, where only crowded nodes get,
+branches on the next token. At the last level a node that is still large is one group, by a link each to
+its smallest class; comparing it in blocks shows its best-linked classes, and two trees are enough for that.
+A pair at the threshold J shares a leaf of depth d with probability 1 - (1 - J ** d) ** trees; `trees` is chosen so that leaves at the last level, where only crowded nodes get,
 miss it with a probability under `miss` (leaves at the first level: far under). The sketches of a leaf are
 compared five standard deviations below the threshold.
 
@@ -215,7 +215,7 @@ def _propose(reps: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
         some = large.limit(1).count()
         if depth == rules.last and some:
             part = F.pmod(F.xxhash64("rep", F.lit(depth)), F.ceil(F.col("n") / rules.leaf * 2))
-            leaves = leaves.unionByName(large.select(F.xxhash64("key", part).alias("key"), "rep"))
+            leaves = leaves.unionByName(large.where("tree < 2").select(F.xxhash64("key", part).alias("key"), "rep"))
         # Classes that are alike meet in many trees: each different set of classes gets its sketches once.
         sets = leaves.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
         members = sets.select(F.xxhash64("reps").alias("set"), F.explode("reps").alias("rep"))
