@@ -59,11 +59,18 @@ def triple_accuracy(gold: DataFrame, pred: DataFrame, key: str, attr: str, label
 
 def coherence(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """(candidate, coherence): the largest share of a candidate's triples (candidate, triple) that one known
-    model (model, triple) holds; 0 where none shares any (SE13). One equality join on triples."""
-    own = candidates.distinct()
-    size = own.groupBy("candidate").agg(F.count("*").alias("n"))
-    best = own.join(known.distinct(), "triple").groupBy("candidate", "model").agg(F.count("*").alias("hits")).groupBy("candidate").agg(F.max("hits").alias("hits"))
-    return size.join(best, "candidate", "left").select("candidate", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("coherence"))
+    model (model, triple) holds; 0 where none shares any (SE13), and for a null candidate. Only its set of triples
+    decides, so each different set of candidates meets each different set of models once, by an equality join on triples."""
+    triples = F.array_sort(F.collect_set("triple")).alias("held")  # without nulls: they count as a triple that no model holds
+    own = candidates.groupBy("candidate").agg(triples, F.max(F.col("triple").isNull().cast("int")).alias("nulls"))
+    # A set goes by its least candidate or model: no two sets have the same one.
+    sets = own.where("candidate is not null").groupBy("held").agg(F.min("candidate").alias("candidate"))
+    models = known.groupBy("model").agg(triples).groupBy("held").agg(F.min("model").alias("model"))
+    both = sets.select("candidate", F.explode("held").alias("triple")).join(models.select("model", F.explode("held").alias("triple")), "triple")
+    best = both.groupBy("candidate", "model").agg(F.count("*").alias("hits")).groupBy("candidate").agg(F.max("hits").alias("hits"))
+    best = sets.join(best, "candidate").select("held", "hits")
+    hits = F.when(F.col("candidate").isNull(), 0).otherwise(F.coalesce("hits", F.lit(0)))
+    return own.join(best, "held", "left").select("candidate", (hits / (F.size("held") + F.col("nulls"))).alias("coherence"))
 
 
 def with_folds(rows: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:

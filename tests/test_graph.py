@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import settings
 from loomgraph.functions import annotate, scalar
-from loomgraph.operators import graph, integration, relational, statistics, tensors
+from loomgraph.operators import evaluation, graph, integration, relational, statistics, tensors
 from loomgraph.plans import extended
 from loomgraph.sources import documents, files, store
 
@@ -200,6 +200,34 @@ def test_wrap_keeps_long_parts(spark):
     assert [r.x for r in df.select(scalar.auto_wrap(F.col("w"), 7).alias("x")).collect()] == [plain(w, 7) for w in words]
 
 
+def test_coherence_of_like_sets_is_one_comparison(spark):
+    """Random sets, equal sets, nulls in every column beside brute force; pairs grow with the different sets, not with the rows."""
+    rng = random.Random(13)
+    maybe = lambda n: None if (x := rng.randrange(n)) == 0 else x
+    own, known = [(maybe(30), maybe(9)) for _ in range(150)], [(maybe(12), maybe(9)) for _ in range(50)]
+    got = evaluation.coherence(spark.createDataFrame(own, "candidate long, triple long"), spark.createDataFrame(known, "model long, triple long"))
+    models = [{t for m, t in known if m == k and t is not None} for k in {m for m, _ in known}]
+    want = {}
+    for c in {c for c, _ in own}:
+        held = {t for k, t in own if k == c}
+        want[c] = max(len(held & m) for m in models) / len(held) if c is not None else 0
+    assert {r.candidate: r.coherence for r in got.collect()} == pytest.approx(want) and None in want and any(0 < v < 1 for v in want.values())
+    many = lambda name: spark.range(400).select(F.col("id").alias(name), F.explode(F.sequence(F.lit(0), 4 + F.col("id") % 3)).alias("triple"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        like = evaluation.coherence(many("candidate"), many("model"))
+        assert [r.coherence for r in like.collect()] == [1.0] * 400
+        nodes, joined = [like._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName():
+                joined += node.metrics().apply("numOutputRows").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < joined < 2000
+
+
 def test_marks_nest():
     rng = random.Random(17)
     for _ in range(200):
