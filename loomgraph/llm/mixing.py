@@ -1,10 +1,11 @@
 """Operator 8, mixing sources to target weights: a low-discrepancy source schedule.
 
 A source's documents are a shuffled stream, cut into blocks of equally many tokens (the last one holds
-the rest). Its target is so many passes over that stream: slot r of the source takes block r mod blocks in
-pass r div blocks, and its last slot only the tokens that the target still lacks, so every source reaches
-its target to the word, also one smaller than a block. Its slots stand at equal steps, from a golden-ratio
-offset on, and the schedule is all slots in that order: every stretch holds the sources nearly in proportion.
+the rest). Its target is so many passes over that stream, which is a ring: a golden-ratio offset says where
+in it the source starts, slot r takes the r-th block from there on in pass r div blocks, and its last slot only
+the tokens that the target still lacks, so every source reaches its target to the word, also one smaller than
+a block. Its slots stand at equal steps, from the same offset on, and the schedule is all slots in that order:
+every stretch holds the sources nearly in proportion. What is taken of a document is read off the schedule's slots.
 
 All of it is DataFrame code. A source may hold a third of all rows: slot numbers and stream positions are
 sums over small buckets plus a prefix over the buckets' totals, never a window over a whole source.
@@ -42,7 +43,7 @@ class MixRules:
 @dataclass
 class Mix:
     """The operator's tables. sources: sid, source, weight, source_size, docs, target. schedule: slot,
-    sid, rank, block, pass, tokens (of the block's first ones). segments: sid, block, doc_id, size, start, tokens.
+    sid, rank, block, pass, tokens (of the block's first ones), cut (not the whole block). segments: sid, block, doc_id, size, start, tokens.
     taken: a row per document."""
 
     sources: DataFrame
@@ -118,29 +119,35 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> Mix:
     goal, blocks = F.round("target").cast("long"), F.ceil(F.col("source_size") / block).cast("long")
     parts = sources.where("source_size > 0").withColumn("goal", goal).withColumn("blocks", blocks)
     parts = parts.withColumn("full", F.expr("goal div source_size * blocks")).withColumn("rest", F.expr("goal % source_size"))
-    parts = parts.withColumn("slots", F.col("full") + F.ceil(F.col("rest") / block).cast("long")).where("slots > 0")
+    # The pass that takes only `rest` meets the stream's last block, which lacks `lack` tokens, after `ahead` others.
+    offset = F.expr(f"((sid * {GOLDEN}L) % {SPAN}L) / {SPAN}D")
+    parts = parts.withColumn("offset", offset).withColumn("head", F.floor(F.col("offset") * F.col("blocks")))
+    parts = parts.withColumn("ahead", F.col("blocks") - 1 - F.col("head")).withColumn("lack", F.col("blocks") * block - F.col("source_size"))
+    short = F.when(F.col("rest") > F.col("ahead") * block, F.col("lack")).otherwise(0)
+    parts = parts.withColumn("slots", F.col("full") + F.ceil((F.col("rest") + short) / block).cast("long")).where("slots > 0")
     chunks = F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {rules.bucket}"))
-    parts = parts.select("sid", "source_size", "blocks", "full", "rest", "slots", F.explode(chunks).alias("chunk")).repartition("sid", "chunk")
+    parts = parts.select("sid", "source_size", "blocks", "full", "rest", "offset", "head", "ahead", "lack", "slots", F.explode(chunks).alias("chunk")).repartition("sid", "chunk")
     ranks = F.sequence(F.col("chunk") * rules.bucket, F.least((F.col("chunk") + 1) * rules.bucket, F.col("slots")) - 1)
-    chosen = parts.withColumn("rank", F.explode(ranks)).withColumn("block", F.col("rank") % F.col("blocks"))
-    upto = F.when(F.col("rank") < F.col("full"), F.col("source_size")).otherwise(F.col("rest"))
-    chosen = chosen.withColumn("tokens", F.least(F.lit(block), upto - F.col("block") * block))
-    offset = F.expr(f"((sid * {GOLDEN}L) % {SPAN}L) / {SPAN}D")
-    chosen = chosen.withColumn("place", (F.col("rank") + offset) / F.col("slots")).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
+    chosen = parts.withColumn("rank", F.explode(ranks)).withColumn("block", (F.col("rank") + F.col("head")) % F.col("blocks"))
+    whole_block = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    gone = F.col("rank") - F.col("full")
+    left = F.col("rest") - gone * block + F.when(gone > F.col("ahead"), F.col("lack")).otherwise(0)
+    chosen = chosen.withColumn("tokens", F.when(F.col("rank") < F.col("full"), whole_block).otherwise(F.least(whole_block, left)))
+    chosen = chosen.withColumn("cut", F.col("tokens") < whole_block)
+    chosen = chosen.withColumn("place", (F.col("rank") + F.col("offset")) / F.col("slots")).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
     stretches = max(1, whole["n"] // block // rules.bucket)
     chosen = chosen.withColumn("stretch", F.floor(F.col("place") * stretches))
     at = F.row_number().over(Window.partitionBy("stretch").orderBy("place", "sid")) - 1
     schedule = (
         chosen.withColumn("within", at)
         .join(_prefix(chosen, "all", "stretch", "one", "base"), ["all", "stretch"])
-        .select((F.col("base") + F.col("within")).alias("slot"), "sid", "rank", "block", F.expr("rank div blocks").alias("pass"), "tokens")
+        .select((F.col("base") + F.col("within")).alias("slot"), "sid", "rank", "block", F.expr("rank div blocks").alias("pass"), "tokens", "cut")
     )
 
     # Written, so that no plan holds the schedule and the streams at once. A source's last slot may take a part of its block.
-    whole_block = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    takes = chosen.withColumn("cut", F.col("tokens") < whole_block)
+    schedule = scratch.write(schedule)
     times = scratch.write(
-        takes.groupBy("sid", "block").agg(
+        schedule.groupBy("sid", "block").agg(
             F.sum(F.when(F.col("cut"), 0).otherwise(1)).alias("times"), F.max(F.when(F.col("cut"), F.col("tokens")).otherwise(0)).alias("part")
         )
     )

@@ -458,6 +458,29 @@ def test_mix_reaches_every_target(spark):
         assert (abs(ranks["slot"] / len(slots) - (ranks["rank"] + 0.5) / len(ranks)) <= 1 / len(ranks) + len(by_sid) / len(slots)).all()
 
 
+def test_mix_reads_what_it_takes_off_the_schedule(spark, monkeypatch):
+    """Every document's words beside the schedule's slots, one by one; other offsets take other blocks, to the same targets."""
+    rng = random.Random(28)
+    docs = spark.createDataFrame([(i, "w " * rng.randint(1, 60), f"s{i % 4}" if i % 3 else "t") for i in range(700)], "doc_id long, text string, source string")
+    rules = mixing.MixRules(block=64, least_slots=50, slots_per_source=2, bucket=16)
+    made = mixing.mix(docs, rules)
+    held, read = {}, Counter()
+    for r in made.segments.collect():
+        held.setdefault((r.sid, r.block), []).append(r)
+    for slot in made.schedule.collect():
+        tokens = slot.tokens
+        for r in sorted(held[slot.sid, slot.block], key=lambda r: r.start):
+            read[r.doc_id] += min(tokens, r.tokens)
+            tokens -= min(tokens, r.tokens)
+        assert not tokens
+    rows = {r.doc_id: r for r in made.taken.collect()}
+    assert {d: r.taken for d, r in rows.items()} == {d: read[d] for d in rows} and max(r.taken / r.size for r in rows.values()) <= 3
+    monkeypatch.setattr(mixing, "GOLDEN", 1234567891)
+    other = {r.doc_id: r for r in mixing.mix(docs, rules).taken.collect()}
+    sums = lambda of: Counter({s: sum(r.taken for r in of.values() if r.source == s) for s in {r.source for r in of.values()}})
+    assert sums(rows) == sums(other) and {d: r.taken for d, r in rows.items()} != {d: r.taken for d, r in other.items()}
+
+
 def test_toxicity_held_out():
     rng = random.Random(9)
     calm = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
