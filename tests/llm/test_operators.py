@@ -737,6 +737,28 @@ def test_pipeline_near_dedup(stages):
     assert 5 < len(want) < len(nodes) - 5 and sum(d == 500 for d, _ in want) == 2
 
 
+def test_pipeline_near_dedup_shuffles_texts_once(spark, stages):
+    """Beyond the size of a broadcast, too."""
+    import corpus_pipeline as p
+
+    at, out = stages
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = p.near_dedup(spark, spark.read.parquet(str(at / "stage0")), str(at))
+        nodes, moved = [got._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            moved += node.nodeName() == "Exchange" and "text#" in node.output().toString()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert moved == 1 and key(got.collect()) == key(out[2])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline_suffix_dedup(stages):
     before, after = stages[1][2:4]
     one = [r for r in before if r.doc_id is not None and r.doc_id != 500]
